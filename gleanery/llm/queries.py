@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate
+from gleanery.llm import decontaminate, packing, pii, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,3 +40,27 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s F
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    """Exact length histogram of the encoded documents with its suffix sums: one row for each length that occurs."""
+    return tokens.suffix_sums(tokens.length_histogram(read(spark, sf_dir, "documents")))
+
+
+@query
+def op8_packing(spark, sf_dir):
+    """Best-fit-decreasing packing of all documents into sequences of 4096 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op10_pii(spark, sf_dir):
+    """Personal data in every document. The four counts are of the base patterns; spans also has what the transducers add."""
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
