@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, packing, pii, tokens
+from gleanery.llm import decontaminate, htmltext, packing, pii, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,6 +54,12 @@ def op8_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
