@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, htmltext, packing, pii, tokens
+from gleanery.llm import decontaminate, fingerprint, htmltext, packing, pii, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -42,12 +42,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM lowered LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+@query
+def op3_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_counts(spark, sf_dir):
     """Exact length histogram of the encoded documents with its suffix sums: one row for each length that occurs."""
     return tokens.suffix_sums(tokens.length_histogram(read(spark, sf_dir, "documents")))
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document, learnt from labels outside the test fold."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(documents, toxicity.train(documents, read(spark, sf_dir, "labels")), name="score")
+    return found.select("doc_id", toxicity.in_test_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op8_packing(spark, sf_dir):
     """Best-fit-decreasing packing of all documents into sequences of 4096 tokens."""
