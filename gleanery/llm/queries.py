@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, fingerprint, htmltext, packing, pii, tokens, toxicity
+from gleanery.llm import decontaminate, fingerprint, htmltext, packing, pii, relative_lz, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,6 +54,26 @@ def op4_token_counts(spark, sf_dir):
     return tokens.suffix_sums(tokens.length_histogram(read(spark, sf_dir, "documents")))
 
 
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """Words of every document that a 50-word copy from a document of smaller id covers, and the digest of the rest."""
+    found = relative_lz.remove_copies(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
+copied AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE first_doc < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM copied),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS s
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     """Toxicity of every document, learnt from labels outside the test fold."""
