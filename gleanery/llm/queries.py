@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, fingerprint, htmltext, packing, pii, relative_lz, tokens, toxicity
+from gleanery.llm import decontaminate, fingerprint, htmltext, packing, pii, relative_lz, suffix_array, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -19,6 +19,12 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    """Passages of 50 words or more that two documents share: one row for each, the copy first."""
+    return suffix_array.find_repeats(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_decontamination(spark, sf_dir):
     """Words of every document inside a 10-word window of a benchmark item."""
