@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, fingerprint, htmltext, packing, pii, relative_lz, suffix_array, tokens, toxicity
+from gleanery.llm import decontaminate, fingerprint, htmltext, jaccard_join, packing, pii, relative_lz, suffix_array, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -80,6 +80,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
 FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+@query
+def op6_ngram_jaccard(spark, sf_dir):
+    """Components of the documents whose 4-word shingles agree in 85 of 100."""
+    return jaccard_join.link(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM words UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT words.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     """Toxicity of every document, learnt from labels outside the test fold."""
