@@ -9,7 +9,6 @@ then compared word by word.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -164,5 +163,18 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     return tk.small_batches(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows without any window of the benchmark, all columns as they are. Cases as in find_contamination."""
+    sc, at = documents.sparkSession.sparkContext, documents.columns.index("text")
+    blocks = [sc.broadcast(m) for m in matchers(benchmark, window, block_bytes)]
+
+    def run(batches):
+        for batch in batches:
+            texts = tk.as_bytes(batch.column(at))
+            hits, items = [{} for _ in texts], [set() for _ in texts]
+            for b in blocks:
+                scan(texts, b.value, hits, items)
+            yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
+
+    return tk.small_batches(documents).mapInArrow(run, documents.schema)
+

@@ -190,6 +190,21 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return tk.small_batches(both).mapInArrow(run, "a long, b long")
 
 
+def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `documents`, one for each component of near-duplicates: that of the smallest doc_id.
+
+    Components are those of link(). Texts without words are no duplicates and all stay;
+    of rows that repeat an id with the same text one stays; rows without an id come last
+    in their component. All columns are kept as they are.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_gleanery_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_gleanery_text")]
+    found = grouped(documents.select(key[0].alias("id"), "text", key[1].alias("version")), shingle, percent)
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "version")).alias("_k")).select("_k.*")
+    stay = first.unionByName(found.filter("component is null").select("id", "version")).distinct().select(F.col("id").alias("_gleanery_id"), F.col("version").alias("_gleanery_text"))
+    rows = documents.select("*", *key).join(stay.hint("merge"), ["_gleanery_id", "_gleanery_text"], "left_semi")
+    return rows.dropDuplicates(["_gleanery_id", "_gleanery_text"]).select(documents.columns)
+
+
 def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -200,13 +215,21 @@ def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame
     ids come after all others; rows of equal id are judged each by its text. Extra
     columns are ignored; an empty table gives no rows.
     """
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
+    found = grouped(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text", F.lit(0).alias("version")), shingle, percent)
+    return found.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(LAST_ID)).alias("component_id"))
 
-    def name(ids, texts):
-        sets = Sets(texts, shingle)
-        return ids, sets.sizes.astype(np.int64), sets.nodes(), sets.bitmaps()
 
-    named = tk.written(mapped(rows, name, "id long, n long, node long, bitmap binary"))
+def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """id, version, n, component of (id, text, version) rows; a row without words has a null component."""
+    spark = rows.sparkSession
+
+    def name(batches):
+        for batch in batches:
+            sets = Sets(tk.as_bytes(batch.column(1)), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.nodes()), pa.array(sets.bitmaps())], ["id", "version", "n", "node", "bitmap"])
+
+    named = tk.written(tk.small_batches(rows.select("id", "text", F.col("version").cast("long").alias("version"))).mapInArrow(name, "id long, version long, n long, node long, bitmap binary"))
+    rows = rows.select("id", "text")
     nodes = named.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
 
     limit = boundary(percent)
@@ -223,7 +246,7 @@ def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame
     least = light.groupBy("subset", "size").agg(F.min(F.struct("n", "node")).alias("_c"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b")
     light = light.join(least.hint("merge"), ["subset", "size"]).filter(f"node <> _c.node and 100 * size >= {percent} * (n + _c.n - size)").select(F.col("_c.node").alias("a"), F.col("node").alias("b"))
 
-    sent = documents.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+    sent = spark.sparkContext.broadcast(common_shingles(rows, shingle))
 
     def enter(ids, texts):
         sets = Sets(texts, shingle)
@@ -243,7 +266,7 @@ def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame
         full = placed.join(nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "bitmap").hint("merge"), "node").select("token", "i", "j", "side", "node", "n", "label", "bitmap")
         return full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
 
-    none = documents.sparkSession.createDataFrame([], "node long, label long")
+    none = spark.createDataFrame([], "node long, label long")
     tree = tk.written(list_pairs(lists(none), percent, True))
     wanted = tree.select(F.col("a").alias("node")).unionByName(tree.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("first").alias("id"))
 
@@ -263,5 +286,5 @@ def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame
     edges = links.join(ids.select(F.col("node").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(ids.select(F.col("node").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
     reached = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("first"), "component")
     classes = ids.join(reached.hint("merge"), "first", "left").select("node", F.coalesce("component", "first").alias("component"))
-    known = named.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes.hint("merge"), "node", "left")
-    return known.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(LAST_ID)).alias("component_id"))
+    known = named.select("id", "version", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes.hint("merge"), "node", "left")
+    return known.select("id", "version", "n", "component")

@@ -11,8 +11,6 @@ Factors have at least `window` words, and their words are the duplicate ones.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,7 +112,3 @@ def remove_copies(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(factors, factor)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
 
     return joined.select("id", "version", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:long,length:long,doc_id:long,place:long>>")
-
-
-def digest(kept: str) -> str:
-    return hashlib.sha256(kept.encode()).hexdigest()

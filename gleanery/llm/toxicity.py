@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from gleanery.llm import textkit as tk
 
@@ -140,7 +141,17 @@ def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: in
             found = pa.array(scores(tk.as_bytes(batch.column(at)), w, bits), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructType
-
     schema = StructType(list(documents.schema.fields)).add(name, DoubleType())
     return tk.small_batches(documents).mapInArrow(run, schema)
+
+
+def drop_toxic(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = 0.5, bits: int = BITS) -> DataFrame:
+    """The rows that score below the threshold, all columns as they are."""
+    at, sent = documents.columns.index("text"), documents.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w = dense(sent.value, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(tk.as_bytes(batch.column(at)), w, bits) < threshold, pa.bool_()))
+
+    return tk.small_batches(documents).mapInArrow(run, documents.schema)
