@@ -2,8 +2,8 @@
 
 Each five-word shingle is hashed once; the hash's first bits choose one of `BINS` bins
 and the rest compete for its minimum. An empty bin borrows from the first full bin that
-its own sequence of hashed bins meets. Of each minimum only `KEEP` low-order bits are
-stored, and the likeness takes chance agreement of those bits into account.
+its own sequence of hashed bins meets. Of each minimum, hashed with its bin, only `KEEP`
+low-order bits are stored, and the likeness takes chance agreement of those bits into account.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from gleanery.llm import textkit as tk
 
 BINS, KEEP, SHINGLE = 512, 4, 5
 _BIN_BITS = BINS.bit_length() - 1
+_OWN = tk.mix64(np.arange(BINS, dtype=np.uint64))
 
 
 def shingle_hashes(texts: list[bytes], n: int = SHINGLE):
@@ -57,7 +58,8 @@ def bins_of(hashes: np.ndarray, owners: np.ndarray, count: int) -> tuple[np.ndar
         found = full[pick]
         low[empty[found]] = low[pick[found]]
         empty, row = empty[~found], row[~found]
-    return (low & np.uint64((1 << KEEP) - 1)).astype(np.uint8).reshape(count, BINS), some
+    low = tk.mix64(low.reshape(count, BINS) + _OWN)  # a value that many bins borrow must not agree by chance in all of them
+    return (low & np.uint64((1 << KEEP) - 1)).astype(np.uint8), some
 
 
 def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

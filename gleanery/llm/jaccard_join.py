@@ -199,8 +199,8 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_gleanery_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_gleanery_text")]
     found = grouped(documents.select(key[0].alias("id"), "text", key[1].alias("version")), shingle, percent)
-    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "version")).alias("_k")).select("_k.*")
-    stay = first.unionByName(found.filter("component is null").select("id", "version")).distinct().select(F.col("id").alias("_gleanery_id"), F.col("version").alias("_gleanery_text"))
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "version")).alias("_k")).select("_k.*")
+    stay = first.unionByName(found.filter("group is null").select("id", "version")).distinct().select(F.col("id").alias("_gleanery_id"), F.col("version").alias("_gleanery_text"))
     rows = documents.select("*", *key).join(stay.hint("merge"), ["_gleanery_id", "_gleanery_text"], "left_semi")
     return rows.dropDuplicates(["_gleanery_id", "_gleanery_text"]).select(documents.columns)
 
@@ -220,7 +220,7 @@ def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame
 
 
 def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """id, version, n, component of (id, text, version) rows; a row without words has a null component."""
+    """id, version, n, group, component (its smallest id) of (id, text, version) rows; both are null for a row without words."""
     spark = rows.sparkSession
 
     def name(batches):
@@ -280,11 +280,10 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     first = tk.written(verified(tree, texts, shingle, percent).unionByName(light))
     labels = tk.written(components(first).select("node", F.col("component").alias("label")))
     rest = list_pairs(lists(labels), percent, False).join(tree.hint("merge"), ["a", "b"], "left_anti")
-    links = first.unionByName(verified(rest, texts, shingle, percent))
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(rest, texts, shingle, percent))
 
-    ids = nodes.select("node", "first")
-    edges = links.join(ids.select(F.col("node").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(ids.select(F.col("node").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
-    reached = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("first"), "component")
-    classes = ids.join(reached.hint("merge"), "first", "left").select("node", F.coalesce("component", "first").alias("component"))
+    ids = nodes.select("node", "first").join(components(links).hint("merge"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
+    names = ids.groupBy("group").agg(F.min("first").alias("component"))
+    classes = ids.join(names.hint("merge"), "group").select("node", "group", "component")
     known = named.select("id", "version", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes.hint("merge"), "node", "left")
-    return known.select("id", "version", "n", "component")
+    return known.select("id", "version", "n", "group", "component")

@@ -93,11 +93,11 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
         j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, "right")))
         size = int(ends[j - 1]) - at
         if size > BLOCK:  # one giant word
-            h = _U(0)
+            h = np.zeros(1, _U)
             for k in range(at, at + size, BLOCK):
                 part = table[buf[k : min(k + BLOCK, at + size)]]
-                h = mix64(np.array([h + (part * _UP[: len(part)]).sum(dtype=_U)], _U))[0]
-            out[i] = h
+                h = mix64((part * _UP[: len(part)]).sum(dtype=_U, keepdims=True) + h)
+            out[i] = h[0]
         else:
             acc = np.zeros(size + 1, _U)
             np.multiply(table[buf[at : at + size]], _UP[:size], out=acc[1:])

@@ -1,0 +1,486 @@
+"""The training-data operators against brute force, and on nulls, empties, ties, repeats, long texts and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.llm import decontaminate, fingerprint, htmltext, jaccard_join, packing, pii, relative_lz, suffix_array, tokens, toxicity
+from gleanery.llm import textkit as tk
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def make_texts(seed=3, count=60):
+    """Texts over a small vocabulary with exact and near copies, shared passages, and odd ones."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)] + ["Ünï", "ß", "naïve,", "x-y", "12"]
+    texts = []
+    for _ in range(count):
+        kind = rng.random()
+        if texts and kind < 0.2:
+            t = rng.choice(texts)
+        elif texts and kind < 0.45:
+            w = rng.choice(texts).split(" ")
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            t = " ".join(w)
+        elif texts and kind < 0.65:
+            w = rng.choice(texts).split(" ")
+            a = rng.randrange(len(w))
+            t = " ".join([*rng.choices(words, k=rng.randint(0, 20)), *w[a : a + 25], *rng.choices(words, k=rng.randint(0, 20))])
+        else:
+            t = " ".join(rng.choices(words, k=rng.choice([1, 2, 5, 9, 30, 60, 90])))
+        texts.append(t or "w0")
+    return [*texts, None, "", " \t\n ", "one", "long " + " ".join(rng.choices(words, k=30_000)), texts[0] + "\n" + texts[1], " ".join(f"u{i}" for i in range(8)), " ".join(f"u{i}" for i in range(9))]
+
+
+def frame(spark, texts, **extra):
+    rows = [(i * 3, t, None, "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def clash(df):
+    """Extra columns whose names the operators use inside."""
+    names = ["id", "version", "node", "label", "_label", "rank", "bucket", "score", "n", "found", "key", "length", "salt", "_id", "_b", "hash", "toxicity", "component", "anchor", "at"]
+    return df.select("*", *(F.lit(7).alias(n) for n in names))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return make_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return frame(spark, texts).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def split(text):
+    return SPLIT.findall(text or "")
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# --- words and hashes
+
+
+def test_hashes_follow_the_bytes():
+    parts = [b"abc", b"ABC", b"", b"ab c", "é".encode(), b"x" * (3 << 20), b"y" * (3 << 20)]
+    buf, starts, ends, bounds = tk.find_words(parts, tk.SPACED)
+    assert [buf[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == [w for p in parts for w in p.split()]
+    assert list(np.diff(bounds)) == [len(p.split()) for p in parts]
+    h, low = tk.hash_words(buf, starts, ends), tk.hash_words(buf, starts, ends, lower=True)
+    assert len(set(h.tolist())) == len(h) and low[0] == low[1] != low[2]
+    many = np.arange(200_000, dtype=np.uint64) % np.uint64(977)
+    for n in (1, 5, 50):
+        g = tk.hash_grams(tk.mix64(many), n)
+        assert len(g) == len(many) - n + 1 and len(np.unique(g)) == 977 and g[0] == g[977]
+
+
+# --- 1 and 5: copies of passages
+
+
+def covered_by_copies(texts, window):
+    first = {}
+    for i, t in enumerate(texts):
+        w = split(t)
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    out = []
+    for i, t in enumerate(texts):
+        w, gone = split(t), set()
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < i:
+                gone.update(range(k, k + window))
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("window, gram", [(10, 4), (6, 2)])
+def test_relative_lz_equals_brute_force(docs, texts, window, gram):
+    got = rows(relative_lz.remove_copies(clash(docs), window, gram))
+    for i, (t, gone) in enumerate(zip(texts, covered_by_copies(texts, window), strict=True)):
+        w, r = split(t), got[i * 3]
+        assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+        for f in r.factors:
+            assert f.length >= window and f.doc_id < i * 3
+            assert split(texts[f.doc_id // 3])[f.place : f.place + f.length] == w[f.start : f.start + f.length]
+
+
+def test_relative_lz_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows_ = [(1, text), (1, text), (1, text + " z"), (None, text), (2, text), (None, None)]
+    got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_removed) for r in relative_lz.remove_copies(spark.createDataFrame(rows_, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (1, 0), (2, 60), (99, 0), (99, 60)]
+
+
+def test_suffix_array_matches_are_true_and_find_every_copy(docs, texts):
+    found = suffix_array.find_repeats(clash(docs), 10, 4).collect()
+    inside = [set() for _ in texts]
+    for r in found:
+        a, b = split(texts[r.doc_id // 3]), split(texts[r.other_doc_id // 3])
+        assert r.n_words >= 10 and r.other_doc_id < r.doc_id
+        assert a[r.start : r.start + r.n_words] == b[r.other_start : r.other_start + r.n_words]
+        inside[r.doc_id // 3].update(range(r.start, r.start + r.n_words))
+    want = covered_by_copies(texts, 10)
+    assert sum(bool(w) and not g for w, g in zip(want, inside, strict=True)) == 0
+    assert sum(len(w - g) for w, g in zip(want, inside, strict=True)) <= 0.02 * sum(map(len, want))
+
+
+def test_copies_of_nothing(none, spark):
+    assert relative_lz.remove_copies(none).count() == suffix_array.find_repeats(none).count() == 0
+    assert suffix_array.find_repeats(spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")).count() == 0
+
+
+# --- 2: benchmark
+
+
+def test_wu_manber_equals_brute_force(spark, docs, texts):
+    items = [(1, " ".join(split(texts[5])[:40])), (2, texts[7]), (3, None), (10, ""), (11, "w1 w2"), (12, "W3!w4"), (2, "ß w5"), (4, "NOT there at all"), (None, "w6")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+    patterns = {}
+    for item, t in items:
+        w = words(t)
+        if w and item is not None:
+            for k in range(max(1, len(w) - 9)):
+                patterns.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
+    for block in (8 << 20, 20):
+        got = rows(decontaminate.find_contamination(clash(docs), benchmark, block_bytes=block))
+        for i, t in enumerate(texts):
+            w, hit, its = words(t), set(), set()
+            for k in range(len(w)):
+                for n in {len(p) for p in patterns}:
+                    if (p := tuple(w[k : k + n])) in patterns:
+                        hit.update(range(k, k + n))
+                        its |= patterns[p]
+            assert (got[i * 3].n_words, got[i * 3].n_hit, got[i * 3]["items"]) == (len(w), len(hit), sorted(its))
+    clean = {i * 3 for i in range(len(texts)) if not got[i * 3].n_hit}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(clash(docs), benchmark).collect()} == clean
+
+
+def test_empty_benchmark(docs, none, spark):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_contamination(docs, nothing).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.find_contamination(none, nothing).count() == 0
+
+
+# --- 3: fingerprints
+
+
+def test_fingerprints_estimate_likeness(docs, texts):
+    got = rows(fingerprint.edit_likeness(clash(docs)))
+    assert len(got) == len(texts)
+
+    def shingles(t):
+        w = split(t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    off = []
+    for i, t in enumerate(texts):
+        t, after, r = t or "", texts[(i + 1) % len(texts)] or "", got[i * 3]
+        k = len(t) // 4
+        changed = t[: len(t) - k] + after[:k]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        for other, near in ((changed, r.near_edited), (after, r.near_next)):
+            a, b = shingles(t), shingles(other)
+            off.append(abs(near - (len(a & b) / len(a | b) if a | b else 1)))
+        assert (r.fingerprint == "") == (not t.split())
+    assert np.mean(off) < 0.03 and max(off) < 0.35
+    same = {}
+    for i, t in enumerate(texts):
+        same.setdefault(t or "", set()).add(got[i * 3].fingerprint)
+    assert all(len(x) == 1 for x in same.values())
+
+
+def test_fingerprints_of_few_rows(spark, none):
+    assert fingerprint.edit_likeness(none).count() == 0
+    one = spark.createDataFrame([(5, "a b c d e f")], "doc_id long, text string")
+    assert fingerprint.edit_likeness(one).first().near_next == 1
+    odd = spark.createDataFrame([(None, "x y"), (5, None), (5, "a"), (5, "a"), (None, None)], "doc_id long, text string")
+    assert fingerprint.edit_likeness(odd).count() == fingerprint.fingerprint_documents(odd).count() == 5
+
+
+# --- 4 and 8: tokens
+
+
+@pytest.fixture(scope="module")
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.encode_special_tokens = True
+    odd = ["it's <|endoftext|> $'s don't éa ...—,x  1234 a b İI ŉ ''s 'S", "", "éé, 　x\x1cy", "a" * 5000, "\x00\x01 . . ,,'", *(x or "" for x in make_texts(9))]
+    ids, bounds = tokens.Encoder(tokens.default_path(), keep=10).encode([x.encode() for x in odd])
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(odd))] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_histogram_and_sums(docs, none, encoded):
+    lengths = [len(x) for x in encoded]
+    h = tokens.length_histogram(clash(docs))
+    assert {r.n_tokens: r.n_docs for r in h.collect()} == {n: lengths.count(n) for n in set(lengths)}
+    got = rows(tokens.suffix_sums(h, span=16), "n_tokens")
+    for n in set(lengths):
+        r = got[n]
+        assert (r.docs_from, r.tokens_from) == (sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert (r.docs_total, r.tokens_total, r.truncated_total) == (len(lengths), sum(lengths), sum(min(x, n) for x in lengths))
+    assert {r.level: r.n_tokens for r in tokens.quantiles(tokens.suffix_sums(h), [0.5, 1.0]).collect()} == {0.5: sorted(lengths)[-(-len(lengths) // 2) - 1], 1.0: max(lengths)}
+    assert {r.context_limit: r.tokens for r in tokens.truncated_totals(h, [0, 7, 10**6]).collect()} == {k: sum(min(x, k) for x in lengths) for k in (0, 7, 10**6)}
+    assert tokens.suffix_sums(tokens.length_histogram(none)).count() == 0
+
+
+def plain_best_fit(lengths, capacity):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits)[1]] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 50, 64])
+def test_best_fit_equals_the_plain_one(capacity):
+    rng = random.Random(capacity)
+    for count in (0, 1, 3, 40, 300):
+        lengths = [min(capacity, int(rng.expovariate(0.1)) + 1) for _ in range(count)]
+        runs, made = packing.best_fit({n: lengths.count(n) for n in set(lengths)}, capacity)
+        assert made == plain_best_fit(lengths, capacity)
+        filled = {}
+        for length, _, n, first, bins, at in runs.tolist():
+            for j in range(n):
+                filled.setdefault(first + j % bins, []).append((at + j // bins * length, length))
+        assert sum(map(len, filled.values())) == count
+        for parts in filled.values():
+            assert [a for a, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))]).tolist()[:-1]
+
+
+@pytest.mark.parametrize("most_runs", [10**6, 0])
+def test_packing(docs, none, encoded, most_runs):
+    capacity = 100
+    got = packing.pack(clash(docs), capacity, most_runs=most_runs).collect()
+    want = {(i * 3, k // capacity): (k, len(p := [*ids, 1][k : k + capacity]), zlib.crc32(np.array(p, "<u4").tobytes())) for i, ids in enumerate(encoded) for k in range(0, len(ids) + 1, capacity)}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [a for a, _ in parts] == np.cumsum([0, *(n for _, n in parts)]).tolist()[:-1] and sum(n for _, n in parts) <= capacity
+    assert len(sequences) == plain_best_fit([n for _, n, _ in want.values()], capacity)
+    assert packing.pack(none).count() == 0
+
+
+def test_packing_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (None, "")], "doc_id long, text string")
+    got = packing.pack(d).collect()
+    assert len(got) == 4 and sorted(r.offset for r in got) == sorted([0, 3, 6, 7])
+
+
+# --- 6: Jaccard links
+
+
+def brute_components(texts, shingle, percent):
+    sets = []
+    for t in texts:
+        w = split((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [len(s) for s in sets], [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("shingle, percent, block", [(4, 85, 512), (2, 80, 4), (1, 60, 3)])
+def test_links_equal_brute_force(docs, texts, monkeypatch, shingle, percent, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    got = rows(jaccard_join.link(clash(docs), shingle, percent))
+    sizes, root = brute_components(texts, shingle, percent)
+    assert [got[i * 3].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i * 3].component_id for i in range(len(texts))] == [3 * r for r in root]
+    kept = {r.doc_id for r in jaccard_join.keep_one(clash(docs), shingle, percent).collect()}
+    assert kept == {3 * i for i in range(len(texts)) if root[i] == i}
+
+
+def test_links_of_a_family_of_edits(spark):
+    """Copies with one edit each: all link to the first, hardly any to each other."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(110)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        w = base.copy()
+        for a in rng.sample(range(5, 105), 2):
+            w[a] = f"new{k}{a}"
+        texts.append(" ".join(w))
+    got = rows(jaccard_join.link(frame(spark, texts)))
+    assert [got[i * 3].component_id for i in range(len(texts))] == [3 * r for r in brute_components(texts, 4, 85)[1]]
+
+
+def test_links_ids(spark, none):
+    d = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (9, "A B  C\nd"), (None, "a b c d"), (None, None), (4, "other words"), (7, "")], "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(d).filter("doc_id is not null").collect())
+    assert got == [(4, 1, 4), (4, 1, 4), (4, 1, 4), (7, 0, 7), (9, 1, 4)]
+    assert sorted((r.text or "") for r in jaccard_join.keep_one(d).collect()) == ["", "", "a b c d", "other words"]
+    assert jaccard_join.link(none).count() == jaccard_join.keep_one(none).count() == 0
+
+
+# --- 7: toxicity
+
+
+def test_toxicity_learns_and_leaves_the_test_fold_out(spark, none):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    data = []
+    for i in range(1500):
+        w = rng.choices(words, k=rng.randint(5, 60))
+        bad = rng.random() < 0.2
+        if bad:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["vile", "awful", "nasty"]))
+        data.append((i, " ".join(w), int(bad)))
+    data += [(5000, None, 1), (5001, "", 0), (None, "vile", 1), (5002, "vile", None), (5003, "fine", 0), (5003, "fine", 0)]
+    d = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], 0, x[2]) for x in data], "doc_id long, quality int, toxic int")
+    weights = toxicity.train(clash(d), labels)
+    got = {r.doc_id: r for r in toxicity.score(clash(d), weights, name="score").collect()}
+    held = [x for x in data if x[0] is not None and x[2] is not None and zlib.crc32(str(x[0]).encode()) % 5 == 0 and x[1]]
+    assert len(held) > 200 and np.mean([(got[i].score >= 0.5) == bool(y) for i, _, y in held]) > 0.97
+    assert {r.doc_id for r in d.filter(toxicity.in_test_fold()).collect() if r.doc_id is not None} == {x[0] for x in data if x[0] is not None and zlib.crc32(str(x[0]).encode()) % 5 == 0}
+    assert 0 <= got[5000].score == got[5001].score <= 1
+    again = toxicity.train(d.repartition(3), labels.repartition(2))
+    assert all(np.array_equal(a, b) for a, b in zip(weights, again, strict=True))
+    wrong = labels.withColumn("toxic", F.when(toxicity.in_test_fold(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert all(np.array_equal(a, b) for a, b in zip(weights, toxicity.train(d, wrong), strict=True))
+    assert {r.doc_id for r in toxicity.drop_toxic(d, weights).collect()} == {k for k, r in got.items() if r.score < 0.5}
+    blank = toxicity.train(d, labels.limit(0))
+    assert {r.score for r in toxicity.score(d, blank, name="score").collect()} == {0.5}
+    assert toxicity.score(none, weights).count() == 0
+
+
+# --- 9: pages
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site"><h1>Site</h1></header>
+<div class="cookie-notice"><p>We use cookies to improve your experience on this site, accept all of them now.</p></div>
+<nav><ul><li><a href=1>Home</a></ul></nav><div id="content"><article><h1>Headline</h1><p>First para of <b>bo</b>ld te&amp;xt &lt;b&gt; with <a href=x>link</a>.
+<script>var t="</p><p>no";</script><div class="ad">Buy this thing now, it is great and cheap for you.</div><p>Short.<ul><li>One<li>Two</ul><form><label>Mail</label><input></form>
+<section id="comments"><h2>Comments</h2><div class="comment"><p>I love this article so much, thanks for writing it.</p></div></section></article></div>
+<aside><p>Related stories that you would want to read as well.</p></aside><!-- <p>hidden</p> --><footer>&copy; me</footer>"""
+
+
+def test_main_text():
+    assert htmltext.main_text(PAGE) == "Headline First para of bold te&xt <b> with link. Short. One Two"
+    plain = "<body><div class=menu><a>One</a> <a>Two</a></div><div><p>A page with div only, and a long first sentence that has words in it.<p>Another one, quite long too,\n\n so that it counts as content of the page.</div><div><a href=1>Terms</a> | <a href=2>Privacy</a></div>"
+    assert htmltext.main_text(plain) == "A page with div only, and a long first sentence that has words in it. Another one, quite long too, so that it counts as content of the page."
+    for cut in range(0, len(PAGE), 7):
+        htmltext.main_text(PAGE[:cut])
+    assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p></p>") == ""
+    assert htmltext.main_text("<article><p>x <!-- open") == "x" and htmltext.main_text("<article><p>1 < 2 &am<foo") == "1 < 2 &am"
+
+
+def test_min_cut_is_minimal():
+    rng = random.Random(1)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        pull = [rng.choice([-3, -1, -0.5, 0, 0.5, 2]) for _ in range(n)]
+        edges = [(a, b, rng.choice([0.3, 1.0, 2.0])) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def cost(side, pull=pull, edges=edges):
+            return sum(p for p, s in zip(pull, side, strict=True) if p > 0 and not s) - sum(p for p, s in zip(pull, side, strict=True) if p < 0 and s) + sum(w for a, b, w in edges if side[a] != side[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(htmltext.min_cut(pull, edges)) == pytest.approx(best)
+
+
+def test_pages(spark):
+    d = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 5), (2, "v", "", 5), (3, "w", "<p>" + "word " * 200_000, 5)], "page_id long, url string, html string, text int")
+    got = [(r.page_id, r.text[:8], r.n_chars) for r in htmltext.extract(d).collect()]
+    assert sorted(got, key=str) == sorted([(1, "Headline", 63), (1, "Headline", 63), (None, "", 0), (2, "", 0), (3, "word wor", 999_999)], key=str)
+    assert htmltext.extract(d.limit(0)).count() == 0
+
+
+# --- 10: personal data
+
+
+def base_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_patterns_equal_the_expressions():
+    rng = random.Random(4)
+    alphabet = ["a", "Z", "1", "2", "0", "25", "255", ".", ".", "@", "@", "-", " ", "+", "+1", "(", ")", "%", "_", "é", "x.co", "4111 1111 1111 1111", "\n"]
+    for _ in range(4000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 25)))
+        assert pii.detect(text) == base_spans(text), text
+    assert pii.detect("1" * 5000 + ".2.3.4") == []
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("mail bob [at] example [dot] com now", "email", "bob [at] example [dot] com"),
+        ("jane dot doe at mail dot example dot org", "email", "jane dot doe at mail dot example dot org"),
+        ("call plus one two three four five six seven eight nine zero", "phone", "plus one two three four five six seven eight nine zero"),
+        ("аlice@exаmple.com!", "email", "аlice@exаmple.com"),
+        ("４１１１ １１１１ １１１１ １１１１", "card", None),
+        ("b​ob@example.com", "email", "b​ob@example.com"),
+    ],
+)
+def test_disguises(text, kind, span):
+    base = pii.detect(text)
+    assert [(k, text[a:b]) for k, a, b in pii.added(text, base)] == [(kind, span or text)]
+
+
+def test_plain_prose_is_left_alone():
+    for text in ("I looked at home.com today", "meet me at noon, dot the i", "one two three", "Привет мир", "price (at) 3"):
+        assert pii.added(text, pii.detect(text)) == [] == pii.detect(text)
+
+
+def test_pii_rows(spark, none):
+    d = clash(spark.createDataFrame([(1, "é a@b.co, 10.0.0.1 +1 (555) 010-9999", 9), (1, None, 3), (None, "", 0), (2, "x " * 100_000 + "a@b.co", 0)], "doc_id long, text string, n_chars long"))
+    got = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in pii.find_pii(d).collect()]
+    assert (1, [("email", 2, 8), ("ip", 10, 18), ("phone", 19, 36)]) in got and (2, [("email", 200_000, 200_006)]) in got and len(got) == 4
+    red = pii.redact_documents(d)
+    assert red.columns == d.columns
+    assert sorted(("-" if r.text is None else r.text)[:40] for r in red.collect()) == ["", "-", "x " * 20, "é [EMAIL], [IP] [PHONE]"]
+    assert red.filter("text like 'é%'").first().n_chars == 23
+    assert pii.find_pii(none).count() == pii.redact_documents(none).count() == 0
