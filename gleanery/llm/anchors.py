@@ -82,10 +82,15 @@ def anchor_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     return tk.small_batches(rows).mapInArrow(run, "anchor long, segment long, id long, version int, first int, windows int, at int")
 
 
+def in_several(found: DataFrame) -> DataFrame:
+    """Anchors in documents of different id; written, so that a join can split the rows of a hot one."""
+    return tk.written(found.groupBy("anchor").agg(F.min("id").alias("_least"), F.max("id").alias("_most")).filter("_least < _most").select("anchor"))
+
+
 def shared_segments(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The anchor rows whose anchor occurs in documents of different id, written to the shared folder."""
     found = anchor_rows(rows, window, gram)
-    many = found.groupBy("anchor").agg(F.min("id").alias("_least"), F.max("id").alias("_most")).filter("_least < _most").select("anchor")
+    many = in_several(found)
     return tk.written(found.join(many.hint("merge"), "anchor"))
 
 
@@ -96,5 +101,5 @@ def representatives(shared: DataFrame) -> DataFrame:
 
 def contested(firsts: DataFrame) -> DataFrame:
     """Representatives whose anchor has other segments in documents of other ids: those that only a closer look can tell apart."""
-    many = firsts.groupBy("anchor").agg(F.min("id").alias("_least"), F.max("id").alias("_most")).filter("_least < _most").select("anchor")
+    many = in_several(firsts)
     return firsts.join(many.hint("merge"), "anchor")

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from gleanery.llm import textkit as tk
 from gleanery.llm.anchors import LAST_ID
 from gleanery.llm.components import components
-from gleanery.llm.fingerprint import shingle_hashes
 
 BITS = 1024
 BLOCK = 512  # members of a list that are scanned at a time
@@ -46,18 +45,62 @@ def boundary(percent: int) -> int:
     return n
 
 
+class Order:
+    """A fixed order of shingles, rare ones first: by how common their words are and, far after all others, passages that repeat.
+
+    Two tables of fixed size, so the order can be broadcast whatever the corpus. It is
+    learnt from a sample and never changes a result: any order that all sets follow is right.
+    """
+
+    WORD_BITS, SHINGLE_BITS = 20, 22
+
+    def __init__(self, words: list[tuple[int, int]], shingles: list[tuple[int, int]]):
+        self.words = np.zeros(1 << self.WORD_BITS, np.uint8)
+        for at, count in words:
+            self.words[at] = min(15, count.bit_length())
+        self.shingles = np.zeros(1 << self.SHINGLE_BITS, np.uint8)
+        for token, count in shingles:
+            self.shingles[(token & (1 << 64) - 1) >> 64 - self.SHINGLE_BITS] = min(63, 4 * count.bit_length())
+
+    @staticmethod
+    def word_places(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - Order.WORD_BITS)).astype(np.int64)
+
+    def ranks(self, tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+        return level + 128 * self.shingles[(tokens >> np.uint64(64 - self.SHINGLE_BITS)).astype(np.int64)].astype(np.int16)
+
+
 class Sets:
-    """The shingle sets of some texts: sorted distinct tokens, text by text."""
-
-    def __init__(self, texts: list[bytes], shingle: int):
-        h, owner = shingle_hashes(texts, shingle)
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        self.tokens, self.owner, self.count = h[new], owner[new], len(texts)
-        self.bounds = np.searchsorted(self.owner, np.arange(self.count + 1))
-        self.sizes = np.diff(self.bounds)
+    """The shingle sets of some texts: distinct tokens in ascending order, text by text; with an order, also the level of each token's words."""
+
+    def __init__(self, texts: list[bytes], shingle: int, order: Order | None = None):
+        tokens, levels = [], []
+        for lo, hi in tk.runs(texts):
+            buf, starts, ends, bounds = tk.find_words(texts[lo:hi], tk.SPACED)
+            h = tk.hash_words(buf, starts, ends, lower=True)
+            grams = tk.hash_grams(h, shingle)
+            if order:
+                total = np.zeros(len(h) + 1, np.int64)
+                np.cumsum(order.words[order.word_places(h)], out=total[1:])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                n = min(shingle, b - a)
+                own = grams[a : b - n + 1] if n == shingle else tk.hash_grams(h[a:b], n) if n else grams[:0]
+                if order:
+                    own, at = np.unique(own, return_index=True)
+                    levels.append(((total[a + n : b + 1] - total[a : b - n + 1])[at]).astype(np.int16))
+                else:
+                    own = np.sort(own)
+                    own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+                tokens.append(own)
+        self.count, self.order = len(texts), order
+        self.sizes = np.array([len(x) for x in tokens], np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        self.levels = np.concatenate(levels) if levels else np.zeros(0, np.int16)
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.count), self.sizes)
 
     def nodes(self) -> np.ndarray:
         """A 64-bit name of each set."""
@@ -70,16 +113,12 @@ class Sets:
         odd = np.bincount(self.owner * BITS + (self.tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=self.count * BITS).astype(np.uint8) & 1
         return [x.tobytes() for x in np.packbits(odd.reshape(self.count, BITS), axis=1)]
 
-    def rarest(self, common: np.ndarray, rank: np.ndarray, percent: int, least: int) -> np.ndarray:
-        """Places of the entries of all sets of at least `least`: shingles in no sample first, by hash, then by rank."""
-        r = np.zeros(len(self.tokens), np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, self.tokens), len(common) - 1)
-            r = np.where(common[at] == self.tokens, rank[at], 0)
-        order = np.lexsort((self.tokens, r, self.owner))
+    def rarest(self, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the entries of all sets of at least `least`, how many each has): the first in the order, ties by hash."""
+        rank = self.order.ranks(self.tokens, self.levels)
         want = np.where(self.sizes >= max(least, 1), self.sizes - -(-percent * self.sizes // 100) + 1, 0)
-        place = np.arange(len(order)) - np.repeat(self.bounds[:-1], self.sizes)
-        return order[place < np.repeat(want, self.sizes)]
+        out = [a + np.argsort(rank[a : a + n], kind="stable")[:k] for a, n, k in zip(self.bounds[:-1].tolist(), self.sizes.tolist(), want.tolist(), strict=True) if k]
+        return (np.concatenate(out) if out else np.zeros(0, np.int64)), want
 
     def subsets(self, i: int, percent: int) -> list[tuple[int, int]]:
         """(hash, size) of the subsets of set i that a link can leave in common."""
@@ -101,15 +140,22 @@ def mapped(rows: DataFrame, build, schema: str) -> DataFrame:
     return tk.small_batches(rows).mapInArrow(run, schema)
 
 
-def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of about SAMPLE documents repeats most, sorted, and their ranks, the commonest last."""
-    n = rows.count()
+def learn_order(rows: DataFrame, n: int, shingle: int) -> Order:
+    """The order, from a sample of about SAMPLE of n documents."""
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)) < SAMPLE) if n > SAMPLE else rows
+
+    def words(ids, texts):
+        out = []
+        for lo, hi in tk.runs(texts):
+            buf, starts, ends, _ = tk.find_words(texts[lo:hi], tk.SPACED)
+            out.append(Order.word_places(tk.hash_words(buf, starts, ends, lower=True)))
+        place, count = np.unique(np.concatenate(out), return_counts=True)
+        return place, count
+
+    places = mapped(sample, words, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 3").collect()
     tokens = mapped(sample, lambda ids, texts: [Sets(texts, shingle).tokens.view(np.int64)], "token long")
     top = tokens.groupBy("token").count().filter("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    token = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], (len(top) - order).astype(np.int64)
+    return Order([(r["place"], r["n"]) for r in places], [(r["token"], r["count"]) for r in top])
 
 
 def list_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -234,29 +280,26 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     limit = boundary(percent)
     mixed = -(-percent * (limit + 1) // 100)
-
-    def enumerate_subsets(ids, texts):
-        sets = Sets(texts, shingle)
-        node, out = sets.nodes(), []
-        for i in np.flatnonzero((sets.sizes > 0) & (sets.sizes <= limit)):
-            out += [(np.uint64(h).view(np.int64), s, node[i], sets.sizes[i]) for h, s in sets.subsets(i, percent)]
-        return [np.array([x[k] for x in out], np.int64) for k in range(4)]
-
-    light = mapped(rows, enumerate_subsets, "subset long, size long, node long, n long").distinct()
-    least = light.groupBy("subset", "size").agg(F.min(F.struct("n", "node")).alias("_c"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b")
-    light = light.join(least.hint("merge"), ["subset", "size"]).filter(f"node <> _c.node and 100 * size >= {percent} * (n + _c.n - size)").select(F.col("_c.node").alias("a"), F.col("node").alias("b"))
-
-    sent = spark.sparkContext.broadcast(common_shingles(rows, shingle))
+    sent = spark.sparkContext.broadcast(learn_order(rows, max(named.count(), 1), shingle))
 
     def enter(ids, texts):
-        sets = Sets(texts, shingle)
-        at = sets.rarest(*sent.value, percent, mixed)
-        return sets.tokens[at].view(np.int64), sets.nodes()[sets.owner[at]]
-
-    heavy = mapped(rows, enter, "token long, node long")
-    shared = heavy.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("token")
-    heavy = heavy.join(shared.hint("merge"), "token").distinct()
-    heavy = tk.written(heavy)
+        sets = Sets(texts, shingle, sent.value)
+        node = sets.nodes()
+        at, want = sets.rarest(percent, mixed)
+        light = [(h, s, i) for i in np.flatnonzero((sets.sizes > 0) & (sets.sizes <= limit)).tolist() for h, s in sets.subsets(i, percent)]
+        h, s, i = np.array([x[0] for x in light], np.uint64), np.array([x[1] for x in light], np.int64), np.array([x[2] for x in light], np.int64)
+        token = np.concatenate([sets.tokens[at], tk.mix64(h + s.astype(np.uint64))]).view(np.int64)
+        return token, np.concatenate([node[np.repeat(np.arange(sets.count), want)], node[i]]), np.concatenate([np.zeros(len(at), np.int16), s.astype(np.int16)])
+
+    entered = mapped(rows, enter, "token long, node long, size short")
+    shared = tk.written(entered.groupBy("token", "size").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("token", "size"))
+    entered = tk.written(entered.join(shared.hint("merge"), ["token", "size"]).distinct())
+
+    light = entered.filter("size > 0").join(nodes.select("node", "n").hint("merge"), "node")
+    least = light.groupBy("token", "size").agg(F.min(F.struct("n", "node")).alias("_c"))
+    light = light.join(least.hint("merge"), ["token", "size"]).filter(f"node <> _c.node and 100 * size >= {percent} * (n + _c.n - size)").select(F.col("_c.node").alias("a"), F.col("node").alias("b"))
+
+    heavy = entered.filter("size = 0").select("token", "node")
     size = heavy.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = heavy.join(size.hint("merge"), "token").withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
