@@ -25,7 +25,7 @@ from gleanery.llm import textkit as tk
 from gleanery.llm.anchors import LAST_ID
 from gleanery.llm.components import components
 
-BITS = 1024
+BITS, MOST_BITS = 1024, 1 << 16
 BLOCK = 512  # members of a list that are scanned at a time
 SAMPLE, FREQUENT = 8_000, 100_000  # documents, shingles: these only order the shingles, and so never change a result
 LIST_COST = 8  # what an entry of an inverted list costs, in hashes of subsets
@@ -109,9 +109,13 @@ class Sets:
         return tk.mix64(total[self.bounds[1:]] - total[self.bounds[:-1]] + self.sizes.astype(np.uint64)).view(np.int64)
 
     def bitmaps(self) -> list[bytes]:
-        """Of each of BITS classes of tokens, whether the set has an odd number."""
-        odd = np.bincount(self.owner * BITS + (self.tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=self.count * BITS).astype(np.uint8) & 1
-        return [x.tobytes() for x in np.packbits(odd.reshape(self.count, BITS), axis=1)]
+        """Of each class of tokens, whether the set has an odd number: at least BITS classes, twice as many for each doubling of large sets."""
+        out = []
+        for a, n in zip(self.bounds[:-1].tolist(), self.sizes.tolist(), strict=True):
+            bits = min(max(BITS, 1 << (n - 1).bit_length()), MOST_BITS) if n else BITS
+            odd = np.bincount((self.tokens[a : a + n] & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+            out.append(np.packbits(odd.reshape(bits // BITS, BITS), axis=1).tobytes())
+        return out
 
     def rarest(self, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(places of the entries of all sets of at least `least`, how many each has): the first in the order, ties by hash."""
@@ -164,12 +168,26 @@ def list_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
     def passes(n, m, bits):
         return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * bits <= (100 - percent) * (n + m))
 
+    def differing(members: list[bytes], i: int, others: np.ndarray) -> np.ndarray:
+        """How many classes differ between member i and each other; the longer bitmap is folded to the shorter."""
+        out = np.empty(len(others), np.int64)
+        mine, sizes = np.frombuffer(members[i], np.uint64), np.array([len(members[k]) for k in others])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            theirs = np.frombuffer(b"".join(members[k] for k in others[at]), np.uint64).reshape(len(at), -1)
+            short = min(len(mine), theirs.shape[1])
+            fold = lambda m, short=short: np.bitwise_xor.reduce(m.reshape(len(m), -1, short), axis=1)
+            out[at] = np.bitwise_count(fold(theirs) ^ fold(mine[None, :])).sum(axis=1, dtype=np.int64)
+        return out
+
     def of_group(node, n, side, label, bitmap, crossing):
         m = len(node)
         ok = np.zeros((m, m), bool)
         for i in range(m - 1):
-            bits = np.bitwise_count(bitmap[i + 1 :] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
-            ok[i, i + 1 :] = passes(n[i + 1 :], n[i], bits) & (label[i + 1 :] != label[i]) & (not crossing or side[i + 1 :] != side[i])
+            near = (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])) & (label[i + 1 :] != label[i]) & (not crossing or side[i + 1 :] != side[i])
+            at = i + 1 + np.flatnonzero(near)
+            if len(at):
+                ok[i, at] = passes(n[at], n[i], differing(bitmap, i, at))
         if not forest:
             a, b = np.nonzero(ok)
             return node[a], node[b]
@@ -198,12 +216,10 @@ def list_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
                 rest, start, end = table.slice(start[-1]), start[:-1], end[:-1]
             if not len(start):
                 continue
-            bitmap = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(len(token), -1)
-            a = start[end - start == 2]
-            two = passes(n[a], n[a + 1], np.bitwise_count(bitmap[a] ^ bitmap[a + 1]).sum(axis=1, dtype=np.int64)) & (label[a] != label[a + 1]) & ((i[a] == j[a]) | (side[a] != side[a + 1]))
-            left, right = [node[a[two]]], [node[a[two] + 1]]
+            bitmap = table.column(7).to_pylist()
+            left, right = [node[:0]], [node[:0]]
             for s, e in zip(start, end, strict=True):
-                if e - s > 2:
+                if e - s > 1:
                     x, y = of_group(node[s:e], n[s:e], side[s:e], label[s:e], bitmap[s:e], i[s] != j[s])
                     left.append(x)
                     right.append(y)
@@ -276,7 +292,7 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     named = tk.written(tk.small_batches(rows.select("id", "text", F.col("version").cast("long").alias("version"))).mapInArrow(name, "id long, version long, n long, node long, bitmap binary"))
     rows = rows.select("id", "text")
-    nodes = named.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    nodes = tk.written(named.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
 
     limit = boundary(percent)
     mixed = -(-percent * (limit + 1) // 100)
@@ -300,6 +316,10 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     light = light.join(least.hint("merge"), ["token", "size"]).filter(f"node <> _c.node and 100 * size >= {percent} * (n + _c.n - size)").select(F.col("_c.node").alias("a"), F.col("node").alias("b"))
 
     heavy = entered.filter("size = 0").select("token", "node")
+    # lists with the same members give the same pairs: one of them is enough
+    members = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % F.lit(1 << 50)).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    kept = members.groupBy("n", "s", "x").agg(F.min("token").alias("token")).select("token")
+    heavy = tk.written(heavy.join(kept.hint("merge"), "token"))
     size = heavy.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = heavy.join(size.hint("merge"), "token").withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
