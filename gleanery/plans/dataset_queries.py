@@ -132,7 +132,7 @@ def _passes(spark, sf_dir):
     return accumulate.passes(rows, ["user", "event_type"], "page", "event_id")
 
 
-@query("run_stop_rule", f"{_PASSES}, r AS (SELECT *, CASE WHEN total >= 400 THEN 'max-rows' WHEN n >= 50 THEN 'max-passes' END AS stop FROM t) SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS total, CASE WHEN stop IS NULL AND lead(page) OVER (ORDER BY page) IS NULL THEN 'end' ELSE stop END AS stop FROM r WHERE n <= coalesce((SELECT min(n) FROM r WHERE stop IS NOT NULL), 1000000000)")
+@query("run_stop_rule", f"{_PASSES}, g AS (SELECT *, sum(CASE WHEN added > 0 THEN 1 ELSE 0 END) OVER (ORDER BY page) AS g FROM t), r AS (SELECT *, CASE WHEN total >= 400 THEN 'max-rows' WHEN n >= 50 THEN 'max-passes' WHEN sum(CASE WHEN added = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY page) >= 3 THEN 'no-new-data' END AS stop FROM g) SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS total, CASE WHEN stop IS NULL AND lead(page) OVER (ORDER BY page) IS NULL THEN 'end' ELSE stop END AS stop FROM r WHERE n <= coalesce((SELECT min(n) FROM r WHERE stop IS NOT NULL), 1000000000)")
 def run_stop_rule(spark, sf_dir):
     return accumulate.stop_rule(_passes(spark, sf_dir), "page", accumulate.Limits(max_rows=400, max_passes=50)).select("page", "total", "stop")
 
