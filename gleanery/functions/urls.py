@@ -188,3 +188,21 @@ def http_failure(status) -> Column:
 
 def backoff_ms(attempt, base: int = 1000, most: int = 30_000) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), col(attempt) - 1), F.lit(float(most))).cast("long")
+
+
+def placeholder(c) -> Column:
+    """Whether an image address only stands in for a picture that loads later."""
+    s = text(c)
+    return (s == "") | s.rlike("(?i)^data:image/gif;base64,R0lGODlhAQAB") | (s.rlike("(?i)^data:") & (F.length(s) < 100)) | s.rlike(r"(?i)\b(blank|placeholder|spacer|1x1|transparent|noimage|no[-_]?photo|dummy)\b")
+
+
+def best_of_srcset(c) -> Column:
+    """The widest candidate, else the densest, else the first; of equals the first listed; '' if there is none."""
+    entries = F.filter(F.transform(F.split(text(c), ","), strip), lambda e: e != "")
+    parts = F.transform(entries, lambda e, i: F.struct(F.regexp_extract(e, r"^(\S+)", 1).alias("url"), F.regexp_extract(e, rf"^\S+{W}+(\d+)[wW](?:{W}|$)", 1).try_cast("double").alias("w"), F.regexp_extract(e, rf"^\S+{W}+(\d+(?:\.\d+)?)[xX](?:{W}|$)", 1).try_cast("double").alias("x"), (-i).alias("order")))
+
+    def best(by: str) -> Column:
+        sized = F.filter(parts, lambda p: p[by].isNotNull())
+        return F.array_max(F.transform(sized, lambda p: F.struct(p[by].alias("size"), p["order"].alias("order"), p["url"].alias("url"))))["url"]
+
+    return F.coalesce(best("w"), best("x"), F.get(parts, F.lit(0))["url"], F.lit(""))
