@@ -8,16 +8,18 @@ their order is part of the result.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import cleaning
 from gleanery.functions.cleaning import StepError
 from gleanery.functions.text import strip, text
+from gleanery.streaming.folders import shared_folder
 
 POS = "_pos"
 MAX_STEPS, MAX_TEXT, MAX_DEPTH = 50, 2000, 3
@@ -47,20 +49,22 @@ def preset(name: str, column: str) -> list[TransformStep]:
 
 
 def with_pos(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds the row position: 0-based ranks of source keys that name a row.
+    """Adds the row position: 0-based ranks of source keys that name a row and are never null.
 
-    Ranks are dealt over ranges of the keys, and each range starts after the counts of
-    those before it, so no task sorts the whole table.
+    Only the keys are sorted, over ranges of them; they are written once to the shared
+    folder, because ranges are sampled anew each time a plan runs, and counts and ranks
+    must be of the same ones. Each range starts after the counts of those before it, so
+    no task sorts the whole table.
     """
-    from pyspark.sql import Window
-
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    if n == 1:
-        return df.withColumn(POS, F.row_number().over(Window.orderBy(*order)) - 1)
-    ahead = ranged.groupBy("_range").count().withColumn("_ahead", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_ahead")
-    placed = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return placed.join(F.broadcast(ahead), "_range").withColumn(POS, F.col("_n") - 1 + F.col("_ahead")).drop("_range", "_n", "_ahead")
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path = shared_folder(spark, f"positions-{uuid.uuid4().hex}")
+    df.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    keys = spark.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = keys.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    placed = keys.join(F.broadcast(ahead), "_range").select(*order, (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_ahead")).alias(POS))
+    return df.join(placed, order).select(*df.columns, POS)
 
 
 def fill_template(template: str, columns: list[str], pos: Column | None = None) -> Column:

@@ -13,9 +13,10 @@ from gleanery.sinks import lines, workbook
 from gleanery.streaming import accumulate
 
 
-@query("row_positions", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem")
+@query("row_positions", "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")
 def row_positions(spark, sf_dir):
-    return with_pos(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]).withColumnRenamed(POS, "pos")
+    rows = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_custkey")
+    return with_pos(rows, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey", F.col(POS).alias("pos"))
 
 
 @query("detail_enrichment", "SELECT o_orderkey, CASE WHEN o_custkey % 5 < 3 THEN c_name ELSE '' END AS name, CASE WHEN o_custkey % 5 < 3 THEN concat(c_mktsegment, '; ', CAST(c_nationkey AS VARCHAR)) ELSE '' END AS tags FROM orders LEFT JOIN customer ON c_custkey = o_custkey")

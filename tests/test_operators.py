@@ -73,6 +73,8 @@ def test_preview(spark):
 
 def test_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    wide = df.withColumns({"a": F.col("k") % 3, "b": F.repeat(F.lit("x"), 50)})
+    assert [(r.k, r[POS]) for r in pipeline.with_pos(wide, ["k"]).orderBy("k").select("k", POS).collect()] == [(i, i) for i in range(1000)]
     assert [(r.k, r[POS]) for r in pipeline.with_pos(df, ["k"]).orderBy("k").collect()] == [(i, i) for i in range(1000)]
 
 
