@@ -103,7 +103,7 @@ class Matcher:
 def matchers(benchmark: DataFrame, window: int, block_bytes: int) -> list[Matcher]:
     """The benchmark in blocks of at most block_bytes of text (or one item), each a broadcast of its own."""
     blocks, part, size = [], [], 0
-    for row in benchmark.select("item_id", "text").dropna().toLocalIterator():
+    for row in tk.exact(benchmark, "item_id", "text").dropna().toLocalIterator():
         text = row["text"].encode()
         if part and size + len(text) > block_bytes:
             blocks.append(Matcher(part, window))
@@ -160,7 +160,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
                 n = scan(texts, b.value, hits, items)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array([covered(x) for x in hits], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
-    return tk.small_batches(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+    return tk.small_batches(tk.exact(documents, "doc_id", "text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
@@ -176,5 +176,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
                 scan(texts, b.value, hits, items)
             yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
 
-    return tk.small_batches(documents).mapInArrow(run, documents.schema)
+    return tk.whole_rows(documents, run)
 

@@ -86,7 +86,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
             ids, texts = tk.fields(batch, "doc_id", "text")
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(packed(*fingerprints(tk.as_bytes(texts))), pa.string())], ["doc_id", "fingerprint"])
 
-    return tk.small_batches(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return tk.small_batches(tk.exact(documents, "doc_id", "text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def with_successors(documents: DataFrame, per_partition: int = 16, most: int = 1 << 15) -> DataFrame:
@@ -161,7 +161,7 @@ def edit_likeness(documents: DataFrame) -> DataFrame:
             last = rows[-1:]
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = tk.exact(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if documents.isEmpty():
         return documents.sparkSession.createDataFrame([], kinds)
     return with_successors(tk.small_batches(documents)).mapInArrow(run, kinds)

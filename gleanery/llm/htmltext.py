@@ -270,4 +270,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in html.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), urls.cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return tk.small_batches(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return tk.small_batches(tk.exact(pages, "page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -203,7 +203,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
             columns = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in side], arrow) for side in (base, both)]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *columns], ["doc_id", "base", "spans"])
 
-    return tk.small_batches(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id long, base {kind}, spans {kind}")
+    return tk.small_batches(tk.exact(documents, "doc_id", "text")).mapInArrow(run, f"doc_id long, base {kind}, spans {kind}")
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:
@@ -221,4 +221,4 @@ def redact_documents(documents: DataFrame) -> DataFrame:
                 columns[k] = pa.array([n if t is None else len(t) for n, t in zip(columns[k].to_pylist(), texts, strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return tk.small_batches(documents).mapInArrow(run, documents.schema)
+    return tk.whole_rows(documents, run)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 BLOCK = 1 << 20
 _U = np.uint64
@@ -55,6 +56,26 @@ def small_batches(df, rows: int = 256):
     return df
 
 
+def by_place(df):
+    """The same columns named c0, c1 and so on: names that differ in case alone cannot be told apart otherwise."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def exact(df, *names: str):
+    """Columns of exactly these names, the first of each."""
+    placed = by_place(df)
+    return placed.select(*(placed[f"c{df.columns.index(n)}"].alias(n) for n in names))
+
+
+def whole_rows(df, run, *added):
+    """mapInArrow over whole rows, whatever their columns are called; `added` fields come last. Columns are known by place inside run()."""
+    placed = by_place(small_batches(df))
+    schema = StructType(list(placed.schema.fields))
+    for f in added:
+        schema = schema.add(f)
+    return placed.mapInArrow(run, schema).toDF(*df.columns, *(f.name for f in added))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
