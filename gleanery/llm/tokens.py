@@ -121,7 +121,7 @@ def length_histogram(documents: DataFrame, path: str | None = None) -> DataFrame
             lengths, docs = np.unique(encoded_lengths(tk.as_bytes(batch.column(0)), path), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths.astype(np.int64)), pa.array(docs.astype(np.int64))], ["n_tokens", "n_docs"])
 
-    counted = tk.small_batches(documents.select("text"), 1024).mapInArrow(run, "n_tokens long, n_docs long")
+    counted = tk.small_batches(tk.exact(documents, "text"), 1024).mapInArrow(run, "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -129,9 +129,10 @@ def suffix_sums(histogram: DataFrame, span: int = 512) -> DataFrame:
     """For every distinct length as a context limit: documents and tokens from it on, and the truncated total.
 
     Sums run inside spans of `span` lengths, and over the spans' totals, so that no task
-    holds more than the lengths of one span or one row for each span.
+    holds more than the lengths of one span or one row for each span. The histogram is
+    written first, as it is read twice and texts shall be encoded once.
     """
-    h = histogram.withColumn("span", F.expr(f"n_tokens div {span}"))
+    h = tk.written(histogram).withColumn("span", F.expr(f"n_tokens div {span}"))
     tokens = F.col("n_tokens") * F.col("n_docs")
     spans = h.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     above, everything = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
