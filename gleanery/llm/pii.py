@@ -75,24 +75,29 @@ def detect(text: str) -> list[Span]:
 # Characters that look like Latin ones, and the Latin characters.
 _LOOKS = str.maketrans("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαονικρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaovikptuABEZHIKMNOPTYX")
 _INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SPELT = "|".join(_DIGIT_WORDS)
+_NUMERALS = (
+    "zero oh zéro null cero", "one un une eins uno", "two deux zwei dos", "three trois drei tres", "four quatre vier cuatro",
+    "five cinq fünf cinco", "six sechs seis", "seven sept sieben siete", "eight huit acht ocho", "nine neuf neun nueve",
+)
+_DIGIT_WORDS = {w: str(d) for d, words in enumerate(_NUMERALS) for w in words.split()}
+_SPELT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
+_ATS, _DOTS = "at|arroba|arobase|ät", "dot|punkt|point|punto"
 _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?:{_SPELT})(?:[ ,.-]{{1,2}}(?:{_SPELT}|[0-9]))*[ ,.-]{{1,2}}(?:{_SPELT})(?![A-Za-z])")
 _SPOKEN_ONE = re.compile(rf"(?i){_SPELT}|[0-9]")
 _PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[ -]+(?=[0-9])")
-_AT = re.compile(r"(?i)[ \t]{0,3}(?:\[[ \t]{0,3}(?:at|@)[ \t]{0,3}\]|\([ \t]{0,3}(?:at|@)[ \t]{0,3}\)|\{[ \t]{0,3}(?:at|@)[ \t]{0,3}\}|<[ \t]{0,3}(?:at|@)[ \t]{0,3}>|(?<![-A-Za-z0-9])[_-]at[_-](?![-A-Za-z0-9])|(?<=[ \t])@(?=[ \t]))[ \t]{0,3}")
-_DOT = re.compile(r"(?i)[ \t]{0,3}(?:\[[ \t]{0,3}(?:dot|punkt|point|\.)[ \t]{0,3}\]|\([ \t]{0,3}(?:dot|punkt|point|\.)[ \t]{0,3}\)|\{[ \t]{0,3}(?:dot|punkt|point|\.)[ \t]{0,3}\})[ \t]{0,3}")
-_WORDY_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-])")
-_WORDY_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])")
-_BRACKETED = re.compile(r"[\[({<][ \t]{0,3}(?:at|dot|punkt|point|@|\.)[ \t]{0,3}[\])}>]")
-_SPELT_PAIR = re.compile(rf"[ ,.-](?:{_SPELT})(?![a-z])")
+_AT = re.compile(rf"(?i)[ \t]{{0,3}}(?:\[[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\]|\([ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\)|\{{[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\}}|<[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}>|(?<![-A-Za-z0-9])[_-]at[_-](?![-A-Za-z0-9])|(?<=[ \t])@(?=[ \t]))[ \t]{{0,3}}")
+_DOT = re.compile(rf"(?i)[ \t]{{0,3}}(?:\[[ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}\]|\([ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}\)|\{{[ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}\}})[ \t]{{0,3}}")
+_WORDY_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_ATS})[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}|\.)[A-Za-z0-9-])")
+_WORDY_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}(?=[A-Za-z0-9])")
+_BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:{_ATS}|{_DOTS}|@|\.)[ \t]{{0,3}}[\])}}>]")
+_SPELT_PAIR = re.compile(rf"[ ,.-](?:{_SPELT})[ ,.-]{{1,2}}(?:{_SPELT}|[0-9])(?![a-z])")
 _ODD = re.compile(r"[\u00ad\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2060\u2460-\u2468\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 
 def calls(text: str) -> bool:
     """Whether something in the text calls for a transducer; if not, the second look is skipped."""
     low = text.lower()
-    return (not text.isascii() and bool(_ODD.search(text))) or " dot " in low or "_at_" in low or "-at-" in low or " @ " in low or bool(_BRACKETED.search(low)) or bool(_SPELT_PAIR.search(low))
+    return (not text.isascii() and bool(_ODD.search(text))) or any(f" {d} " in low for d in _DOTS.split("|")) or "_at_" in low or "-at-" in low or " @ " in low or bool(_BRACKETED.search(low)) or bool(_SPELT_PAIR.search(f" {low}"))
 
 
 class Tape:
