@@ -26,7 +26,7 @@ from gleanery.llm.anchors import LAST_ID
 from gleanery.llm.components import components
 
 BITS, MOST_BITS = 1024, 1 << 16
-BLOCK = 512  # members of a list that are scanned at a time
+BLOCK = 256  # members of a list that are scanned at a time
 SAMPLE, FREQUENT = 8_000, 100_000  # documents, shingles: these only order the shingles, and so never change a result
 LIST_COST = 8  # what an entry of an inverted list costs, in hashes of subsets
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -259,12 +259,14 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     of rows that repeat an id with the same text one stays; rows without an id come last
     in their component. All columns are kept as they are.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_gleanery_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_gleanery_text")]
-    found = grouped(documents.select(key[0].alias("id"), "text", key[1].alias("version")), shingle, percent)
+    names, documents = documents.columns, tk.by_place(documents)
+    at = [f"c{names.index(n)}" for n in ("doc_id", "text")]
+    key = [F.coalesce(F.col(at[0]).cast("long"), F.lit(LAST_ID)).alias("_gleanery_id"), F.coalesce(F.xxhash64(at[1]), F.lit(0)).alias("_gleanery_text")]
+    found = grouped(documents.select(key[0].alias("id"), F.col(at[1]).alias("text"), key[1].alias("version")), shingle, percent)
     first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "version")).alias("_k")).select("_k.*")
     stay = first.unionByName(found.filter("group is null").select("id", "version")).distinct().select(F.col("id").alias("_gleanery_id"), F.col("version").alias("_gleanery_text"))
     rows = documents.select("*", *key).join(stay.hint("merge"), ["_gleanery_id", "_gleanery_text"], "left_semi")
-    return rows.dropDuplicates(["_gleanery_id", "_gleanery_text"]).select(documents.columns)
+    return rows.dropDuplicates(["_gleanery_id", "_gleanery_text"]).select(documents.columns).toDF(*names)
 
 
 def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -277,6 +279,7 @@ def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame
     ids come after all others; rows of equal id are judged each by its text. Extra
     columns are ignored; an empty table gives no rows.
     """
+    documents = tk.exact(documents, "doc_id", "text")
     found = grouped(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text", F.lit(0).alias("version")), shingle, percent)
     return found.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(LAST_ID)).alias("component_id"))
 
@@ -312,17 +315,16 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     entered = tk.written(entered.join(shared.hint("merge"), ["token", "size"]).distinct())
 
     light = entered.filter("size > 0").join(nodes.select("node", "n").hint("merge"), "node")
-    least = light.groupBy("token", "size").agg(F.min(F.struct("n", "node")).alias("_c"))
+    least = tk.written(light.groupBy("token", "size").agg(F.min(F.struct("n", "node")).alias("_c")))
     light = light.join(least.hint("merge"), ["token", "size"]).filter(f"node <> _c.node and 100 * size >= {percent} * (n + _c.n - size)").select(F.col("_c.node").alias("a"), F.col("node").alias("b"))
 
     heavy = entered.filter("size = 0").select("token", "node")
     # lists with the same members give the same pairs: one of them is enough
     members = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % F.lit(1 << 50)).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    kept = members.groupBy("n", "s", "x").agg(F.min("token").alias("token")).select("token")
+    kept = tk.written(members.groupBy("n", "s", "x").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     heavy = tk.written(heavy.join(kept.hint("merge"), "token"))
-    size = heavy.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = heavy.join(size.hint("merge"), "token").withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = heavy.withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("token", F.least("side", "_o").alias("i"), F.greatest("side", "_o").alias("j"), "side", "node")
 
     def lists(labels):
