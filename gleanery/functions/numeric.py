@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import W, WIDE, col, let, number_text, strip
+from gleanery.functions.text import W, WIDE, col, let, number_text, strip, strip_right
 
 _FLOAT = r"^\s*(\d+\.?\d*|\.\d+)"
 
 
+def _bracketed(s: Column) -> Column:
+    return s.startswith("(") & s.endswith(")") & (F.length(s) > 1) & ~s.contains("\n")
+
+
 def _unsigned(s: Column) -> Column:
     """Without outer parentheses and one leading sign."""
-    return F.regexp_replace(F.regexp_replace(s, r"^\((.*)\)$", "$1"), r"^[-+]", "")
+    inner = lambda t: F.when(t.startswith("-") | t.startswith("+"), F.substr(t, F.lit(2))).otherwise(t)
+    return let(F.when(_bracketed(s), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), inner)
 
 
 def negative(s: Column) -> Column:
-    return s.startswith("-") | s.rlike(r"^\(.*\)$")
+    return s.startswith("-") | _bracketed(s)
 
 
 def _separators(s: Column) -> Column:
     """The digits with a dot as decimal separator; null for one dot before more than two digits, which could be either."""
     comma, dot = F.length(s) - F.length(F.replace(s, F.lit(","))), F.length(s) - F.length(F.replace(s, F.lit(".")))
-    last = lambda c: F.length(s) - F.locate(c, F.reverse(s))
-    after = lambda c: F.length(F.element_at(F.split(s, quoted_class(c)), -1))
+    after = lambda c: F.length(F.substring_index(s, c, -1))
     plain = F.replace(s, F.lit(","))
     return (
-        F.when((comma > 0) & (dot > 0) & (last(",") > last(".")), F.regexp_replace(F.replace(s, F.lit(".")), "^([^,]*),", "$1."))
+        F.when((comma > 0) & (dot > 0) & (after(",") < after(".")), let(F.replace(s, F.lit(".")), lambda t: F.overlay(t, F.lit("."), F.instr(t, ","), F.lit(1))))
         .when((comma > 0) & (dot > 0), plain)
         .when((comma == 1) & (after(",") <= 2), F.replace(s, F.lit(","), F.lit(".")))
         .when(comma > 0, plain)
@@ -36,20 +40,23 @@ def _separators(s: Column) -> Column:
     )
 
 
-def quoted_class(c: str) -> str:
-    return f"[{c}]"
-
-
 def normalize_number(c) -> Column:
-    """struct(str, multiplier, negative) of a number in text; null if there is none that is clear."""
+    """struct(str, multiplier, negative) of a number in text; null if there is none that is clear.
+
+    A suffix is read from the last characters, not by a pattern: this runs for every value.
+    """
     kept = lambda s: strip(F.regexp_replace(_unsigned(s), rf"[^0-9.,kKmMbB{WIDE}]", ""))
-    thousand, scaled = rf"^(.*\d){W}+[bB]$", rf"^(.*\d){W}*([kKmM])$"
+    digit_last = lambda t: F.right(t, F.lit(1)).between("0", "9")
 
     def read(s: Column) -> Column:
         def suffixes(k: Column) -> Column:
-            factor = F.when(k.rlike(thousand), 1000.0).when(k.rlike(rf"^.*\d{W}*[kK]$"), 1000.0).when(k.rlike(rf"^.*\d{W}*[mM]$"), 1e6).otherwise(1.0)
-            body = F.when(k.rlike(thousand), F.regexp_extract(k, thousand, 1)).when(k.rlike(scaled), F.regexp_extract(k, scaled, 1)).otherwise(k)
-            return F.when(k.rlike(r"\d"), F.struct(_separators(body).alias("str"), factor.alias("multiplier"), negative(s).alias("negative")))
+            def parts(p: Column) -> Column:
+                suffix = F.when(digit_last(p["body"]), F.when((p["last"] == "b") & (p["rest"] != p["body"]), "b").when(p["last"].isin("k", "m"), p["last"]))
+                factor = F.when(suffix.isin("b", "k"), 1000.0).when(suffix == "m", 1e6).otherwise(1.0)
+                return F.struct(_separators(F.when(suffix.isNotNull(), p["body"]).otherwise(k)).alias("str"), factor.alias("multiplier"), negative(s).alias("negative"))
+
+            rest = F.substr(k, F.lit(1), F.length(k) - 1)
+            return F.when(k.rlike("[0-9]"), let(F.struct(F.lower(F.right(k, F.lit(1))).alias("last"), rest.alias("rest"), strip_right(rest).alias("body")), parts))
 
         return let(kept(s), suffixes)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # White space of web text beyond ASCII, for a Java or RE2 character class.
 WIDE = r"\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 W = f"[{WIDE}]"
+WIDE_CHARACTERS = " \t\n\u000b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def col(c) -> Column:
@@ -35,7 +36,11 @@ def present(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), f"^{W}+|{W}+$", "")
+    return F.btrim(col(c), F.lit(WIDE_CHARACTERS))
+
+
+def strip_right(c) -> Column:
+    return F.rtrim(col(c), F.lit(WIDE_CHARACTERS))
 
 
 def collapse(c) -> Column:
