@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StructField
 
 from gleanery.llm import textkit as tk
 
@@ -38,7 +38,7 @@ def features(texts: list[bytes], bits: int = BITS):
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; the last coordinate is the intercept, without L1."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.01):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.01):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -61,19 +61,44 @@ class Ftrl:
         return at.astype(np.int32), w[at].astype(np.float32)
 
 
-def fit(coordinates: list[np.ndarray], labels: list[int], epochs: int = 6, seed: int = 7, **options) -> tuple[np.ndarray, np.ndarray]:
+def _learnt(coordinates: list[np.ndarray], labels: list[int], rows: list[int], epochs: int, seed: int, options: dict) -> Ftrl:
     model, rng = Ftrl(**options), np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(labels)):
+        for i in rng.permutation(rows):
             model.learn(coordinates[i], labels[i])
-    return model.sparse()
+    return model
+
+
+def best_cut(margins: np.ndarray, labels: np.ndarray) -> float:
+    """The margin with the fewest errors; of a range of such, nearer to the side of label 1."""
+    order = np.argsort(margins, kind="stable")
+    m, y = margins[order], labels[order]
+    errors = (y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)]) + np.concatenate([[0], np.cumsum(y == 1)])
+    best = np.flatnonzero(errors == errors.min())
+    edges = np.concatenate([m[:1] - 1, m, m[-1:] + 1])
+    lo, hi = edges[best[0]], edges[best[-1] + 1]
+    return float(lo + (hi - lo) * 2 / 3)
+
+
+def fit(coordinates: list[np.ndarray], labels: list[int], epochs: int = 4, seed: int = 7, least: int = 5, **options) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of all rows; the intercept is set so that score one half is the best cut on every fourth row, judged by a model of the others."""
+    rows, cut = list(range(len(labels))), 0.0
+    kept = rows[::4]
+    if min(sum(labels[i] == k for i in kept) for k in (0, 1)) >= least:
+        at, w = _learnt(coordinates, labels, [i for i in rows if i % 4], epochs, seed, options).sparse()
+        table = np.zeros(int(at[-1]) + 1, np.float32)
+        table[at] = w
+        cut = best_cut(np.array([table[coordinates[i]].sum() + table[-1] for i in kept]), np.array([labels[i] for i in kept]))
+    at, w = _learnt(coordinates, labels, rows, epochs, seed, options).sparse()
+    w[-1] -= cut
+    return at, w
 
 
 def in_test_fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = 16_000, bits: int = BITS, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def train(documents: DataFrame, labels: DataFrame, most: int = 16_000, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from about `most` labelled documents at most, none of the test fold.
 
     The sample is the labelled rows whose hashed id falls below a threshold, so it is the
@@ -82,7 +107,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 16_000, bits: int
     left out, a document labelled twice counts as toxic if one label says so; without
     labelled rows the score is one half everywhere.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("_label")).dropna().filter(~in_test_fold())
+    known = tk.exact(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("_label")).dropna().filter(~in_test_fold())
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
@@ -104,7 +129,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 16_000, bits: int
         where, w = fit([at[i] for i in order], [label[i] for i in order], epochs, bits=bits)
         yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["at", "w"])
 
-    sample = tk.small_batches(documents.select("doc_id", "text")).join(F.broadcast(known), "doc_id").select("text", "_label")
+    sample = tk.small_batches(tk.exact(documents, "doc_id", "text")).join(F.broadcast(known), "doc_id").select("text", "_label")
     rows = sample.mapInArrow(reduce_texts, "at binary, label int").repartition(1).mapInArrow(learn, "at binary, w binary").collect()
     if not rows:
         return np.array([1 << bits], np.int32), np.zeros(1, np.float32)
@@ -131,7 +156,9 @@ def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: in
     2**bits coordinates. Null and empty texts get the score of the intercept. A column
     that already has the name is replaced.
     """
-    documents = documents.drop(name)
+    if name in documents.columns:
+        kept = [c for c in documents.columns if c != name]
+        documents = tk.exact(documents, *kept)
     at = documents.columns.index("text")
     sent = documents.sparkSession.sparkContext.broadcast(weights)
 
@@ -141,8 +168,7 @@ def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: in
             found = pa.array(scores(tk.as_bytes(batch.column(at)), w, bits), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
-    schema = StructType(list(documents.schema.fields)).add(name, DoubleType())
-    return tk.small_batches(documents).mapInArrow(run, schema)
+    return tk.whole_rows(documents, run, StructField(name, DoubleType()))
 
 
 def drop_toxic(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = 0.5, bits: int = BITS) -> DataFrame:
@@ -154,4 +180,4 @@ def drop_toxic(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], thr
         for batch in batches:
             yield batch.filter(pa.array(scores(tk.as_bytes(batch.column(at)), w, bits) < threshold, pa.bool_()))
 
-    return tk.small_batches(documents).mapInArrow(run, documents.schema)
+    return tk.whole_rows(documents, run)
