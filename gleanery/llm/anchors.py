@@ -63,6 +63,7 @@ def word_hashes(texts: list[bytes]):
 
 def keyed(documents: DataFrame) -> DataFrame:
     """id (null ids come last), version (tells rows of one id with different texts apart), text."""
+    documents = tk.exact(documents, "doc_id", "text")
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.hash("text").alias("version"), "text")
 
 
@@ -95,8 +96,8 @@ def shared_segments(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def representatives(shared: DataFrame) -> DataFrame:
-    """For each segment that occurs: its least (id, version, first), with windows and at."""
-    return shared.groupBy("anchor", "segment").agg(F.min(F.struct("id", "version", "first", "windows", "at")).alias("_r")).select("anchor", "segment", "_r.*")
+    """For each segment that occurs: its least (id, version, first), with windows and at; written, as in_several()."""
+    return tk.written(shared.groupBy("anchor", "segment").agg(F.min(F.struct("id", "version", "first", "windows", "at")).alias("_r")).select("anchor", "segment", "_r.*"))
 
 
 def contested(firsts: DataFrame) -> DataFrame:
