@@ -71,7 +71,7 @@ def asset_manifest(spark, sf_dir):
     return assets.manifest(rows, "link", fetched).select("page_id", "dataset_id", "asset_filename", "asset_status")
 
 
-@query("asset_names")
+@query("asset_names", "SELECT p_partkey AS pos, concat(p_name, CASE WHEN n = 1 THEN '' ELSE concat('_', CAST(n AS VARCHAR)) END, '.png') AS filename FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part)")
 def asset_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias(POS), F.concat(F.lit("https://cdn.example/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("link"))
     return assets.name_assets(assets.collect_urls(rows, "link"), "{p_name}", "image").select(POS, "filename").withColumnRenamed(POS, "pos")

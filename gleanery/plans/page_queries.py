@@ -42,7 +42,10 @@ def page_detail(spark, sf_dir):
     return rows.select("page_id", F.size(F.split("links", "; ")).cast("long").alias("links")).join(lang, "page_id")
 
 
-@query("page_meta")
+_EMPTY = ", ".join(f"'' AS {m.replace('.', '_')}" for m in structured.META[1:])
+
+
+@query("page_meta", f"SELECT page_id, url, trim({_UNESCAPE.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title, {_EMPTY} FROM pages")
 def page_meta(spark, sf_dir):
     return structured.scan_meta(table(spark, sf_dir, "pages"))
 
