@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.functions.numeric import normalize_number, parse_numeric, price_change
+from gleanery.functions.numeric import normalize_number, price_change, to_double
+from gleanery.functions.text import let
 from gleanery.operators import diff, quality, relational, snapshots
 from gleanery.operators.pipeline import POS, TransformStep, apply_transforms, preset, preview
 from gleanery.plans.base import query, table
@@ -37,7 +38,8 @@ for _kind, _op in (("gt", ">"), ("lt", "<")):
 @query("parse_numeric", f"WITH src AS (SELECT l_orderkey, l_linenumber, {NOTATION_DUCK} AS v FROM lineitem), {number_sql('src', 'v', 'l_orderkey, l_linenumber, v')} SELECT l_orderkey, l_linenumber, v, str, num, coalesce(neg, false) AS neg FROM numbers")
 def parse_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(NOTATION_SPARK).alias("v"))
-    return rows.withColumn("n", normalize_number("v")).select("l_orderkey", "l_linenumber", "v", F.col("n.str").alias("str"), parse_numeric("v").alias("num"), (F.col("v").startswith("-") | F.col("v").startswith("(")).alias("neg"))
+    read = let(normalize_number("v"), lambda n: F.struct(n["str"].alias("str"), to_double(n).alias("num")))
+    return rows.withColumn("n", read).select("l_orderkey", "l_linenumber", "v", "n.str", "n.num", (F.col("v").startswith("-") | F.col("v").startswith("(")).alias("neg"))
 
 
 @query("dedupe_column", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
