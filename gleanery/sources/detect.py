@@ -288,6 +288,15 @@ def structures(pages: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
     return top.select("page_id", (F.col("rank") + 1).alias("rank"), "s.label", "s.item_count", "s.selector", "s.score", confidence.alias("confidence"), "s.fields")
 
 
+def report(pages: DataFrame) -> DataFrame:
+    """Every candidate with its signals, score and fate: kept, or why it was set aside."""
+    kept = structures(pages).select("page_id", F.col("selector").alias("_s"), F.col("item_count").alias("_n"), "rank").dropDuplicates(["page_id", "_s", "_n"])
+    found = candidates(pages)
+    met = found.join(kept, (kept["page_id"] == found["page_id"]) & (kept["_s"] == found["selector"]) & (kept["_n"] == found["item_count"]), "left").drop(kept["page_id"])
+    fate = F.when((F.col("score") < 20), "score below 20").when(F.col("rank").isNull(), "overlaps a better candidate").otherwise("kept")
+    return met.withColumn("fate", fate).drop("_s", "_n", "rank", "lineage")
+
+
 def viable(found: DataFrame) -> DataFrame:
     return found.filter("item_count >= 2 and score >= 20")
 

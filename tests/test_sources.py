@@ -63,6 +63,7 @@ def test_detection(spark):
     pages = spark.createDataFrame([(1, "https://x.y/?page=3", CARDS), (2, "https://x.y/", "<p>none</p>")], "page_id long, url string, html string")
     top = detect.viable(detect.structures(pages)).orderBy("rank").first()
     assert (top.label, top.item_count, top.selector) == ("List Items", 12, "li.card") and top.score >= 70 and set(top.fields) >= {"Title", "Price", "Link", "Image"}
+    assert {r.fate for r in detect.report(pages).collect()} <= {"kept", "score below 20", "overlaps a better candidate"} and detect.report(pages).filter("fate = 'kept' and selector = 'li.card'").count() == 1
     got = {r.page_id: r for r in detect.pagination(pages).collect()}
     assert got[1].detected == "pagination" and got[1].reason == 'rel="next" link' and got[1].url_pattern == "query:page:3" and got[2].detected is None
     assert detect.page_pagination("<button>Load more</button>")[0] == "load-more"
