@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-ORACLE_SQL = None  # a learnt score and a tokenizer are beyond SQL; tests/llm/test_pipeline.py has the brute-force version
+ORACLE_SQL = None  # a learnt score and a tokenizer are beyond SQL; tests/llm/test_llm_pipeline.py has the brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

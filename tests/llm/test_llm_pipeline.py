@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import __spark_entry__
 import corpus_pipeline
 from gleanery.llm import decontaminate, packing, pii, toxicity
-from test_operators import brute_components, plain_best_fit
+from test_llm_operators import brute_components, plain_best_fit
 
 SMALL = "/root/testdata/sf0.001"
 
