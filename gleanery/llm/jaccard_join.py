@@ -242,12 +242,14 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     def run(batches):
         for batch in batches:
-            a, b = Sets(tk.as_bytes(batch.column(2)), shingle), Sets(tk.as_bytes(batch.column(3)), shingle)
-            keep = []
-            for i in range(len(batch)):
-                common = len(np.intersect1d(a.tokens[a.bounds[i] : a.bounds[i + 1]], b.tokens[b.bounds[i] : b.bounds[i + 1]], assume_unique=True))
-                keep.append(100 * common >= percent * (int(a.sizes[i]) + int(b.sizes[i]) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+            for lo in range(0, len(batch), 32):  # both texts of a pair can be long
+                part = batch.slice(lo, 32)
+                a, b = Sets(tk.as_bytes(part.column(2)), shingle), Sets(tk.as_bytes(part.column(3)), shingle)
+                keep = []
+                for i in range(len(part)):
+                    common = len(np.intersect1d(a.tokens[a.bounds[i] : a.bounds[i + 1]], b.tokens[b.bounds[i] : b.bounds[i + 1]], assume_unique=True))
+                    keep.append(100 * common >= percent * (int(a.sizes[i]) + int(b.sizes[i]) - common))
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     return tk.small_batches(both).mapInArrow(run, "a long, b long")
 

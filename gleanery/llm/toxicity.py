@@ -56,9 +56,8 @@ class Ftrl:
 
     def sparse(self) -> tuple[np.ndarray, np.ndarray]:
         """Coordinates and weights that are not zero, the intercept last."""
-        w = self.weights(np.arange(len(self.z)))
-        at = np.append(np.flatnonzero(w[:-1]), len(w) - 1)
-        return at.astype(np.int32), w[at].astype(np.float32)
+        at = np.append(np.flatnonzero(np.abs(self.z[:-1]) > self.l1), len(self.z) - 1)
+        return at.astype(np.int32), self.weights(at).astype(np.float32)
 
 
 def _learnt(coordinates: list[np.ndarray], labels: list[int], rows: list[int], epochs: int, seed: int, options: dict) -> Ftrl:
