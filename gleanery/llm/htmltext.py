@@ -40,7 +40,7 @@ BOILER_NAMES = frozenset(
     "widget toolbar pagination pager skip copyright legal disclaimer form contentinfo complementary".split()
 )
 
-PULL, NEAR, SIBLING = 6.0, 0.8, 0.6
+PULL, FORM, NEAR, SIBLING = 6.0, -4.0, 0.8, 0.6
 
 
 class Block:
@@ -54,11 +54,13 @@ class Block:
 
 def _bias(tag: str, attrs: str, inside: float, in_article: bool) -> float:
     """What an element says of the text in it, as log odds; `inside` is its parent's."""
+    if tag == "form":
+        return min(inside, FORM)
     if tag in OUTSIDE or tag == "header" and not in_article:
         return -PULL
     bias = inside
     if tag in ("article", "main"):
-        bias = max(bias, 3.0) if inside >= 0 else inside
+        bias = max(bias, 3.0) if inside >= FORM else inside  # some sites wrap the whole page in a form
     if attrs and "=" in attrs:
         names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attrs))
         if names:

@@ -405,6 +405,7 @@ def test_main_text():
     assert htmltext.main_text(PAGE) == "Headline First para of bold te&xt <b> with link. Short. One Two"
     plain = "<body><div class=menu><a>One</a> <a>Two</a></div><div><p>A page with div only, and a long first sentence that has words in it.<p>Another one, quite long too,\n\n so that it counts as content of the page.</div><div><a href=1>Terms</a> | <a href=2>Privacy</a></div>"
     assert htmltext.main_text(plain) == "A page with div only, and a long first sentence that has words in it. Another one, quite long too, so that it counts as content of the page."
+    assert htmltext.main_text(f"<form id=all>{PAGE}</form>") == htmltext.main_text(PAGE)
     for cut in range(0, len(PAGE), 7):
         htmltext.main_text(PAGE[:cut])
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p></p>") == ""
