@@ -7,6 +7,8 @@ a polynomial over the word, and a finaliser; equal bytes always give equal hashe
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +152,14 @@ def hash_grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that has held a large sample stays alive for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fields(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     """Columns by exact name, the first of each if a name clashes."""
     where = batch.schema.names

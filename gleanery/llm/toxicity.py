@@ -126,6 +126,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 16_000, bits: int
         # rows come in any order: the sets themselves decide the order of learning
         order = sorted(range(len(at)), key=lambda i: (at[i].tobytes()[:64], len(at[i]), label[i]))
         where, w = fit([at[i] for i in order], [label[i] for i in order], epochs, bits=bits)
+        at.clear()
+        tk.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["at", "w"])
 
     sample = tk.small_batches(tk.exact(documents, "doc_id", "text")).join(F.broadcast(known), "doc_id").select("text", "_label")
