@@ -46,20 +46,20 @@ def spread(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def index_answers(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, version and an array `found` of (first, windows, doc, place): where windows of a document first occur in one of smaller id.
-
-    A whole segment that an earlier document has is answered at once; only the first
-    document with a segment goes on, and only if another document has the anchor in other
-    surroundings. Its windows are then looked up one by one. Both steps aggregate before
-    they shuffle, so large groups of copies stay small.
+def answers(rows: DataFrame, shared: DataFrame, firsts: DataFrame, contested: DataFrame, window: int = WINDOW) -> DataFrame:
+    """id, version, first, windows, doc, place: where windows of a document first occur in one of smaller id.
+
+    A whole segment that an earlier document has is answered at once. Where the first
+    document with a segment has it, at any place and in any row of its id, it goes on
+    only if another document has the anchor in other surroundings. Its windows are then
+    looked up one by one. Both steps aggregate before they shuffle, so large groups of
+    copies stay small.
     """
-    shared = anchors.shared_segments(rows, window, gram)
-    firsts = anchors.representatives(shared)
     known = firsts.select("anchor", "segment", F.col("id").alias("doc"), F.col("first").alias("place"))
     whole = shared.join(known.hint("merge"), ["anchor", "segment"]).filter("doc < id").select("id", "version", "first", "windows", "doc", "place")
 
-    wanted = anchors.contested(firsts).groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("wanted"))
+    own = shared.join(contested.select("anchor", "segment", F.col("id").alias("doc")).hint("merge"), ["anchor", "segment"]).filter("doc = id")
+    wanted = own.groupBy("id", "version").agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("wanted"))
     texts = rows.repartition("id", "version").join(wanted.hint("shuffle_hash"), ["id", "version"])
 
     def windows(batches):
@@ -79,7 +79,15 @@ def index_answers(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     single = texts.mapInArrow(windows, "anchor long, hash long, id long, version int, at int")
     where = single.groupBy("anchor", "hash").agg(F.min(F.struct("id", "at")).alias("_r"), F.max("id").alias("_most")).filter("_r.id < _most").select("anchor", "hash", F.col("_r.id").alias("doc"), F.col("_r.at").alias("place"))
     single = single.join(where.hint("merge"), ["anchor", "hash"]).filter("doc < id").select("id", "version", F.col("at").alias("first"), F.lit(1).alias("windows"), "doc", "place")
-    return whole.unionByName(single).groupBy("id", "version").agg(F.collect_list(F.struct("first", "windows", "doc", "place")).alias("found"))
+    return whole.unionByName(single)
+
+
+def index_answers(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """id, version and an array `found` of (first, windows, doc, place): the answers for each document."""
+    shared = anchors.shared_segments(rows, window, gram)
+    firsts = anchors.representatives(shared)
+    found = answers(rows, shared, firsts, anchors.contested(firsts), window)
+    return found.groupBy("id", "version").agg(F.collect_list(F.struct("first", "windows", "doc", "place")).alias("found"))
 
 
 def remove_copies(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

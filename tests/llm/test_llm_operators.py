@@ -127,6 +127,42 @@ def test_relative_lz_ids(spark):
     assert got == [(1, 0), (1, 0), (1, 0), (2, 60), (99, 0), (99, 60)]
 
 
+def repeated_passages():
+    """(id, text) rows: a passage from a smaller id stands twice, in the same surroundings, in the copying document or in rows of one id."""
+    rng = random.Random(8)
+    new = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    out = []
+    for k in range(12):
+        p, around = new(24), (new(30), new(30))
+        inner = [*around[0], *p, *around[1]]
+        out += [(100 + k, [*new(20), *p, *new(20)]), (200 + k, [*inner, *new(15), *inner, *new(5)]), (300 + k, [*new(20), *p[4:], *new(20)])]
+        q = new(24)
+        inner = [*around[1], *q, *around[0]]
+        out += [(100 + k, [*new(20), *q, *new(20)]), (400 + k, [*inner, "a"]), (400 + k, [*inner, "b"]), (None, [*inner, *new(3)])]
+    return [(i, " ".join(w)) for i, w in out]
+
+
+def copied_words(data, window):
+    """For each (id, text), the words that a window which also stands under a smaller id covers; null ids come last."""
+    key, first, out = (lambda i: 10**9 if i is None else i), {}, {}
+    for i, t in data:
+        w = split(t)
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            first[g] = min(first.get(g, 10**9), key(i))
+    for i, t in data:
+        w = split(t)
+        out[i, t] = {j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < key(i) for j in range(k, k + window)}
+    return out
+
+
+def test_relative_lz_repeats_inside_an_id(spark):
+    data = repeated_passages()
+    got = relative_lz.remove_copies(spark.createDataFrame(data, "doc_id long, text string"), 10, 4).collect()
+    want = [(i or 0, " ".join(w for k, w in enumerate(split(t)) if k not in gone)) for (i, t), gone in copied_words(data, 10).items()]
+    assert sorted((r.doc_id or 0, r.kept) for r in got) == sorted(want)
+
+
 def test_suffix_array_matches_are_true_and_find_every_copy(docs, texts):
     found = suffix_array.find_repeats(clash(docs), 10, 4).collect()
     inside = [set() for _ in texts]
