@@ -4,7 +4,10 @@ Only suffixes at minimiser positions are retained, and of those only where the a
 gram occurs in several documents. Suffixes that are alike over a whole segment are one
 entry. The entries are sorted over the cluster; each is compared with its neighbours,
 and a match is extended to the right along the suffixes and to the left in the text
-before them. Matches of at least `window` words are reported, overlapping ones joined.
+before them. Neighbours alone miss copies whose smaller id stands further off in a run
+of alike suffixes, or agrees more to the left than to the right, so the windows of those
+segments are also looked up one by one. Matches of at least `window` words are reported,
+overlapping ones joined.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import anchors
 from gleanery.llm import textkit as tk
 from gleanery.llm.anchors import GRAM, LAST_ID, WINDOW
-from gleanery.llm.relative_lz import lists
+from gleanery.llm.relative_lz import answers, lists
 
 ENTRY = "key binary, left binary, id long, version int, at int"
 
@@ -109,7 +112,8 @@ def join_overlaps(start: np.ndarray, length: np.ndarray, place: np.ndarray) -> l
 def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, start, n_words, other_doc_id, other_start: passages of at least `window` words that also stand in a document of smaller id.
 
-    Each document that shares such a passage is in some row, as the copy or as the other.
+    Every word of such a passage is in a row of its document, and each document that
+    shares one is in some row, as the copy or as the other.
     Offsets count words between white space. Documents of equal id are one for this
     purpose, null ids come last and are given as null, null, empty and shorter texts have
     no passages, extra columns are ignored, an empty table gives no rows.
@@ -117,10 +121,10 @@ def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     rows = anchors.keyed(documents)
     shared = anchors.shared_segments(rows, window, gram)
     firsts = anchors.representatives(shared)
-    known = firsts.select("anchor", "segment", F.col("id").alias("other"), F.col("first").alias("place"))
-    whole = shared.join(known.hint("merge"), ["anchor", "segment"]).filter("other < id").select("id", "version", F.col("first").cast("long").alias("start"), (F.col("windows") + window - 1).cast("long").alias("length"), "other", F.col("place").cast("long").alias("place"))
+    contested = anchors.contested(firsts)
+    looked_up = answers(rows, shared, firsts, contested, window).select("id", "version", F.col("first").cast("long").alias("start"), (F.col("windows") + window - 1).cast("long").alias("length"), F.col("doc").alias("other"), F.col("place").cast("long").alias("place"))
 
-    wanted = anchors.contested(firsts).groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
+    wanted = contested.groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
     texts = rows.join(wanted.hint("shuffle_hash"), ["id", "version"])
 
     def cut_out(batches):
@@ -136,7 +140,7 @@ def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lefts, pa.binary()), pa.array(np.repeat(ids.to_numpy(), n)), pa.array(np.repeat(versions.to_numpy(), n)), pa.array(at.astype(np.int32))], ["key", "left", "id", "version", "at"])
 
     entries = tk.written(texts.mapInArrow(cut_out, ENTRY))
-    matches = whole.unionByName(neighbour_matches(entries, window, gram))
+    matches = looked_up.unionByName(neighbour_matches(entries, window, gram))
     found = matches.groupBy("id", "version", "other").agg(F.collect_set(F.struct("start", "length", "place")).alias("spans"))
 
     def joined(batches):

@@ -176,6 +176,23 @@ def test_suffix_array_matches_are_true_and_find_every_copy(docs, texts):
     assert sum(len(w - g) for w, g in zip(want, inside, strict=True)) <= 0.02 * sum(map(len, want))
 
 
+def test_suffix_array_covers_every_copied_word(spark, texts):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(14)]
+    many = [(1000 + i, " ".join([*rng.choices("abcdefgh", k=12), *passage, *rng.choices("abcdefgh", k=12)])) for i in range(80)]
+    data = [*((i * 3, t) for i, t in enumerate(texts)), *many, *((i and i + 2000, t) for i, t in repeated_passages())]
+    words = {}
+    for i, t in data:
+        words.setdefault(i, []).append(split(t))
+    inside = {}
+    for r in suffix_array.find_repeats(spark.createDataFrame(data, "doc_id long, text string"), 10, 4).collect():
+        assert r.n_words >= 10 and (r.doc_id is None or r.other_doc_id < r.doc_id)
+        a = {tuple(w[r.start : r.start + r.n_words]) for w in words[r.doc_id]}
+        assert a & {tuple(w[r.other_start : r.other_start + r.n_words]) for w in words[r.other_doc_id]}
+        inside.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert all(gone <= inside.get(i, set()) for (i, _), gone in copied_words(data, 10).items())
+
+
 def test_copies_of_nothing(none, spark):
     assert relative_lz.remove_copies(none).count() == suffix_array.find_repeats(none).count() == 0
     assert suffix_array.find_repeats(spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")).count() == 0
