@@ -89,15 +89,54 @@ _AT = re.compile(rf"(?i)[ \t]{{0,3}}(?:\[[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\]|
 _DOT = re.compile(rf"(?i)[ \t]{{0,3}}(?:\[[ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}\]|\([ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}\)|\{{[ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}\}})[ \t]{{0,3}}")
 _WORDY_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_ATS})[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}|\.)[A-Za-z0-9-])")
 _WORDY_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}(?=[A-Za-z0-9])")
-_BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:{_ATS}|{_DOTS}|@|\.)[ \t]{{0,3}}[\])}}>]")
-_SPELT_PAIR = re.compile(rf"[ ,.-](?:{_SPELT})[ ,.-]{{1,2}}(?:{_SPELT}|[0-9])(?![a-z])")
+# A spoken address with a plain dot, "john at example.com": what comes after "at", and the words before it.
+_SPELLED_HOST = re.compile(rf"(?i)[A-Za-z0-9-]{{1,63}}[ \t]{{1,3}}(?:{_DOTS})[ \t]")
+_PLAIN_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}?\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+_BEFORE = re.compile(r"(?:([^\W_][\w'’-]{0,30})([ \t]{1,3})|([^ \t]?)[ \t]*)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\Z")
+_CUES = frozenset("mail mails email emails e-mail courriel correo contact contacts contacto kontakt write writes reach ask address adresse dirección to an à a is ist est es via cc bcc from von de i'm am plus and und et y or oder ou dot punkt point punto".split())
+_NO_MAILBOX = frozenset(
+    "look looks looked looking see seen find found read buy bought order ordered shop shopping sold sell available open hosted live lives living work works worked working meet met arrive arrived stay stayed start started visit visited be is are was were been am "
+    "me us him her them you it i we he she they here there online now not only one more all and or but stop stopped click aim aimed point pointed laugh laughed stare stared shout shouted eat ate play played down up out back over mail email e-mail contact write reach".split()
+)
+# Each finds all that its transducers can change, in lower-cased text; letters that only the expressions take for i, k or s are left to _FOLDED.
+_MARKED = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:{_ATS}|{_DOTS}|@|\.)[ \t]{{0,3}}[\])}}>]|[_-]at[_-]|[ \t]@[ \t]")
+_SPELT_PAIR = re.compile(rf"[^a-z](?:{_SPELT})[ ,.-]{{1,2}}(?:{_SPELT}|[0-9])(?![a-z])")
+_FOLDED = re.compile("[İıſK]")
 _ODD = re.compile(r"[\u00ad\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2060\u2460-\u2468\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 
 def calls(text: str) -> bool:
-    """Whether something in the text calls for a transducer; if not, the second look is skipped."""
+    """Whether a transducer may change the text; true whenever one does, so that skipping the others loses nothing."""
+    if not text.isascii() and (_ODD.search(text) or _FOLDED.search(text)):
+        return True
     low = text.lower()
-    return (not text.isascii() and bool(_ODD.search(text))) or any(f" {d} " in low for d in _DOTS.split("|")) or "_at_" in low or "-at-" in low or " @ " in low or bool(_BRACKETED.search(low)) or bool(_SPELT_PAIR.search(f" {low}"))
+    return (
+        bool(_MARKED.search(low))
+        or "plus" in low and bool(_PLUS.search(text))
+        or any(d in low for d in _DOTS.split("|")) and bool(_WORDY_DOT.search(text))
+        or any(a in low for a in _ATS.split("|")) and bool(_WORDY_AT.search(text))
+        or bool(_SPELT_PAIR.search(f" {low}"))
+    )
+
+
+def addressed(text: str, at: int, host: int) -> bool:
+    """Whether the "at" between `at` and `host` stands in an address, judged by the words beside it alone.
+
+    With a spelled dot it does. With a plain one the host must end in letters, and the word
+    before must look like a mailbox: it has a digit or mark in it, or begins its clause or
+    follows a word such as "mail", and is none that "at" follows in prose ("looked at home.com").
+    """
+    if _SPELLED_HOST.match(text, host):
+        return True
+    if not _PLAIN_HOST.match(text, host):
+        return False
+    m = _BEFORE.search(text[max(at - 100, 0) : at])
+    if not m:
+        return False
+    name, before = m[4].lower(), (m[1] or "").lower()
+    if name in _NO_MAILBOX:
+        return False
+    return any(c in "0123456789._%+" for c in name) or (before in _CUES if m[1] else True)
 
 
 class Tape:
@@ -144,11 +183,10 @@ def deobfuscate(text: str) -> Tape:
     tape.put([(m.start(), m.end(), x) for m in _ODD.finditer(tape.text) if (x := _plain(m[0])) != m[0]])
     tape.put([(m.start(), m.end(), "".join(_DIGIT_WORDS.get(w.lower(), w) for w in _SPOKEN_ONE.findall(m[0]))) for m in _SPOKEN.finditer(tape.text)])
     tape.put([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
-    tape.put([(m.start(), m.end(), "@") for m in _WORDY_AT.finditer(tape.text)])
+    tape.put([(m.start(), m.end(), "@") for m in _WORDY_AT.finditer(tape.text) if addressed(tape.text, m.start(), m.end())])
     tape.put([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.put([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    if "@" in tape.text:
-        tape.put([(m.start(), m.end(), ".") for m in _WORDY_DOT.finditer(tape.text)])
+    tape.put([(m.start(), m.end(), ".") for m in _WORDY_DOT.finditer(tape.text)])
     return tape
 
 

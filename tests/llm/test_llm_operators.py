@@ -529,6 +529,27 @@ def test_plain_prose_is_left_alone():
         assert pii.added(text, pii.detect(text)) == [] == pii.detect(text)
 
 
+def test_disguises_are_judged_alike_in_every_document():
+    found = {
+        "plus 49 151 23456789": "plus 49 151 23456789", "john at example.com": "john at example.com", "Please mail john at example.com today": "john at example.com",
+        "see j.smith at mail.example.org": "j.smith at mail.example.org", "(one two) 10 dot 0 dot 0 dot 1": "10 dot 0 dot 0 dot 1", "x\none two three four five six seven eight nine": None,
+        "I looked at home.com today": None, "Look at home.com": None, "the results at home.com": None, "reach us at home.com": None, "we met at 5.30 today": None,
+    }
+    for text, span in found.items():
+        for more in ("", "\nThe point is this.", "\nAsk bob@example.com now.", "\none two.", "\n(at)"):
+            whole = f"{text}.{more}"
+            spans = pii.added(whole, pii.detect(whole))
+            assert [whole[a:b] for _, a, b in spans] == ([span] if span else []), whole
+
+
+def test_no_disguise_is_skipped():
+    rng = random.Random(7)
+    parts = ["plus ", "PLU\u017f 4", "1", "49", " ", "  ", "\n", " at ", "at", "_at_", "-AT-", "[at]", "{ DOT }", " dot ", " Punto ", "point", "@", " @ ", ".", "one", "Two ", "\u017fix ", "dr\u0131", "un-", ",", "a", "é", "x.co", "(", ")", "\u212a"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        assert pii.calls(text) or pii.deobfuscate(text).text == text, text
+
+
 def test_pii_rows(spark, none):
     d = clash(spark.createDataFrame([(1, "é a@b.co, 10.0.0.1 +1 (555) 010-9999", 9), (1, None, 3), (None, "", 0), (2, "x " * 100_000 + "a@b.co", 0)], "doc_id long, text string, n_chars long"))
     got = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in pii.find_pii(d).collect()]
