@@ -74,3 +74,12 @@ def test_detection(spark):
     assert [r.s for r in suggest] == [["ecommerce", "realestate"], ["list"], []]
     assert detect.match_hints([("Name", ["Name"], ["Title"]), ("Other", ["Name"], ["Title"])], {"Name": "jsonLd.0.name"}, {"Title": "h3"}) == {"Name": "jsonLd.0.name", "Other": "h3"}
     assert len(detect.TEMPLATES) == 8
+
+
+def test_structures_of_all_orders(spark, tmp_path):
+    from gleanery.plans import registry
+
+    rows = [(first + k, first, "O") for first in (1, 1990, 5000) for k in range(12)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r.page_id for r in registry.QUERIES["detect_structures"](spark, str(tmp_path)).collect()]
+    assert set(got) == {1, 1990, 5000} and got.count(1) == got.count(1990) == got.count(5000)
