@@ -257,18 +257,19 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `documents`, one for each component of near-duplicates: that of the smallest doc_id.
 
-    Components are those of link(). Texts without words are no duplicates and all stay;
-    of rows that repeat an id with the same text one stays; rows without an id come last
+    Components are those of link(). Rows without words are no duplicates and all stay;
+    of others that repeat an id with the same text one stays; rows without an id come last
     in their component. All columns are kept as they are.
     """
     names, documents = documents.columns, tk.by_place(documents)
     at = [f"c{names.index(n)}" for n in ("doc_id", "text")]
     key = [F.coalesce(F.col(at[0]).cast("long"), F.lit(LAST_ID)).alias("_gleanery_id"), F.coalesce(F.xxhash64(at[1]), F.lit(0)).alias("_gleanery_text")]
     found = grouped(documents.select(key[0].alias("id"), F.col(at[1]).alias("text"), key[1].alias("version")), shingle, percent)
-    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "version")).alias("_k")).select("_k.*")
-    stay = first.unionByName(found.filter("group is null").select("id", "version")).distinct().select(F.col("id").alias("_gleanery_id"), F.col("version").alias("_gleanery_text"))
-    rows = documents.select("*", *key).join(stay.hint("merge"), ["_gleanery_id", "_gleanery_text"], "left_semi")
-    return rows.dropDuplicates(["_gleanery_id", "_gleanery_text"]).select(documents.columns).toDF(*names)
+    stay = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "version")).alias("_k")).select(F.col("_k.id").alias("_gleanery_id"), F.col("_k.version").alias("_gleanery_text"))
+    has_words = F.coalesce(F.col(at[1]), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = documents.filter(has_words).select("*", *key).join(stay.hint("merge"), ["_gleanery_id", "_gleanery_text"], "left_semi")
+    kept = rows.dropDuplicates(["_gleanery_id", "_gleanery_text"]).select(documents.columns)
+    return kept.unionByName(documents.filter(~has_words)).toDF(*names)
 
 
 def link(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:

@@ -411,6 +411,12 @@ def test_links_ids(spark, none):
     assert jaccard_join.link(none).count() == jaccard_join.keep_one(none).count() == 0
 
 
+def test_rows_without_words_all_stay(spark):
+    data = [(None, None, "a"), (None, None, "b"), (None, "", "c"), (None, "", "d"), (3, " \t", "e"), (3, " \t", "f"), (4, "one", "g"), (4, "one", "h"), (None, "two", "i"), (None, "two", "j"), (5, "\u00a0", "k"), (5, "\u00a0", "l")]
+    got = [r.source for r in jaccard_join.keep_one(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()]
+    assert {*"abcdef"} <= set(got) and len(got) == 9
+
+
 # --- 7: toxicity
 
 
