@@ -89,10 +89,12 @@ def in_several(found: DataFrame) -> DataFrame:
 
 
 def shared_segments(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The anchor rows whose anchor occurs in documents of different id, written to the shared folder."""
-    found = anchor_rows(rows, window, gram)
+    """The anchor rows whose anchor occurs in documents of different id, written to the shared folder. All are written first: they are read twice, and texts shall be hashed once."""
+    found = tk.written(anchor_rows(rows, window, gram))
     many = in_several(found)
-    return tk.written(found.join(many.hint("merge"), "anchor"))
+    shared = tk.written(found.join(many.hint("merge"), "anchor"))
+    tk.discard(found, many)
+    return shared
 
 
 def representatives(shared: DataFrame) -> DataFrame:

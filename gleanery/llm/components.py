@@ -9,12 +9,14 @@ from gleanery.llm import textkit as tk
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a > b). Large: every neighbour above a node moves to the node's least neighbour; small: those below."""
+    """Edges (a > b), written. Large: every neighbour above a node moves to the node's least neighbour; small: those below."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = tk.written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))  # written, so that the join can split a hub's edges
     met = both.join(least.hint("merge"), "a")
     moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+    out = tk.written(moved.filter("a <> b").distinct())
+    tk.discard(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,5 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-        edges = tk.written(_star(_star(edges, True), False))
+        halfway = _star(edges, True)
+        after = _star(halfway, False)
+        tk.discard(edges, halfway)
+        edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

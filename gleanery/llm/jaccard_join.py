@@ -28,6 +28,7 @@ from gleanery.llm.components import components
 BITS, MOST_BITS = 1024, 1 << 16
 BLOCK = 256  # members of a list that are scanned at a time
 SAMPLE, FREQUENT = 8_000, 100_000  # documents, shingles: these only order the shingles, and so never change a result
+LARGEST_LIGHT = 1 << 14  # shingles; where 100 of 100 are asked for, no size would be heavy
 LIST_COST = 8  # what an entry of an inverted list costs, in hashes of subsets
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -40,7 +41,7 @@ def entries(n: int, percent: int) -> int:
 def boundary(percent: int) -> int:
     """The largest size whose subsets cost no more than its list entries."""
     n = 1
-    while sum(comb(n + 1, d) for d in range(entries(n + 1, percent))) <= LIST_COST * entries(n + 1, percent):
+    while n < LARGEST_LIGHT and sum(comb(n + 1, d) for d in range(entries(n + 1, percent))) <= LIST_COST * entries(n + 1, percent):
         n += 1
     return n
 

@@ -10,6 +10,7 @@ finds its sequence and offset from its length and its rank among pieces of that
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -69,6 +70,11 @@ class OpenBins:
         return -1
 
 
+def most_runs(capacity: int) -> int:
+    """The bound on the runs of best_fit() that pack() states."""
+    return 4 * capacity * math.isqrt(2 * capacity)
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     """Runs (length, rank, count, bin, bins, offset), and the number of bins.
 
@@ -117,12 +123,14 @@ def pieces(documents: DataFrame, capacity: int, path: str) -> DataFrame:
     return tk.small_batches(tk.exact(documents, "doc_id", "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(documents: DataFrame, capacity: int = 4096, path: str | None = None, most_runs: int = 1_000_000) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 4096, path: str | None = None) -> DataFrame:
     """Every piece with its sequence_id and offset.
 
     To the driver go the counts of at most `capacity` distinct lengths; back goes the
-    list of runs, broadcast up to `most_runs` (48 bytes each) and joined by length
-    beyond that. Ranks are counted in salted groups of a length, so that a length that
+    broadcast list of runs. Its length does not grow with the documents: a length opens at
+    most two groups of bins and splits at most two, and a group takes less than
+    sqrt(2 * capacity) different lengths, so 4096 tokens allow 1.5 million runs of 48 bytes
+    (some ten thousand in practice). Ranks are counted in salted groups of a length, so that a length that
     many documents share is spread over tasks. The pieces' numbers (not their ids) are
     written once to the shared folder, so texts are encoded once. Null and empty texts
     are the separator alone; repeated rows are packed each; an empty table gives no rows.
@@ -131,6 +139,8 @@ def pack(documents: DataFrame, capacity: int = 4096, path: str | None = None, mo
     cut_up = tk.written(pieces(documents, capacity, path or tokens.default_path()))
     counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}
     runs, _ = best_fit(counts, capacity)
+    if len(runs) > most_runs(capacity):
+        raise AssertionError(f"{len(runs)} runs are beyond the bound")
 
     salts = min(max(sum(counts.values()) // 50_000, 256), 1 << 16)
     salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
@@ -139,12 +149,6 @@ def pack(documents: DataFrame, capacity: int = 4096, path: str | None = None, mo
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("n", F.row_number().over(inside)).join(ahead, ["length", "salt"]).select(*cut_up.columns, (F.col("n") - 1 + F.col("ahead")).alias("rank"))
 
-    if len(runs) > most_runs:
-        plan = spark.createDataFrame(runs.tolist(), "length long, first long, n long, bin long, bins long, at long")
-        j = F.col("rank") - F.col("first")
-        placed = ranked.join(plan, "length").filter((j >= 0) & (j < F.col("n")))
-        return placed.select(*cut_up.columns, (F.col("bin") + j % F.col("bins")).alias("sequence_id"), (F.col("at") + F.floor(j / F.col("bins")) * F.col("length")).alias("offset"))
-
     plan = spark.sparkContext.broadcast(runs[np.lexsort((runs[:, 1], runs[:, 0]))])
 
     def run(batches):

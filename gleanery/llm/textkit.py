@@ -2,20 +2,26 @@
 
 Every separator used by the operators is a single ASCII byte, so words are found
 bytewise without decoding. Hashes are 64 bits wide: a random value for each byte,
-a polynomial over the word, and a finaliser; equal bytes always give equal hashes.
+a polynomial over the word, and a finaliser. A polynomial modulo 2**64 has known
+collisions between long periodic words, so words of more than LONG bytes get a
+cryptographic hash instead. Equal bytes always give equal hashes.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.types import StructType
 
+from gleanery.streaming.folders import new_folder
+
 BLOCK = 1 << 20
+LONG = 32  # bytes; a change of hash function, not of meaning
 _U = np.uint64
 _BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -108,27 +114,28 @@ def find_words(texts: list[bytes], inside: np.ndarray):
     return buf, starts, ends, np.searchsorted(starts, first)
 
 
+A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
 def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each word, with A-Z read as a-z if `lower`."""
-    table, out, i = _LOWER if lower else _BYTE, np.empty(len(starts), _U), 0
+    table, out, i = _LOWER if lower else _BYTE, np.zeros(len(starts), _U), 0
     while i < len(starts):
         at = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, "right")))
         size = int(ends[j - 1]) - at
-        if size > BLOCK:  # one giant word
-            h = np.zeros(1, _U)
-            for k in range(at, at + size, BLOCK):
-                part = table[buf[k : min(k + BLOCK, at + size)]]
-                h = mix64((part * _UP[: len(part)]).sum(dtype=_U, keepdims=True) + h)
-            out[i] = h[0]
-        else:
+        if size <= BLOCK:  # else one giant word
             acc = np.zeros(size + 1, _U)
             np.multiply(table[buf[at : at + size]], _UP[:size], out=acc[1:])
             np.cumsum(acc, out=acc)
             s, e = starts[i:j] - at, ends[i:j] - at
             out[i:j] = (acc[e] - acc[s]) * _DOWN[s]
         i = j
-    return mix64(out + (ends - starts).astype(_U))
+    out = mix64(out + (ends - starts).astype(_U))
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        word = buf[starts[k] : ends[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(word.translate(A_Z) if lower else word, digest_size=8).digest(), "little")
+    return out
 
 
 def hash_grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -166,21 +173,17 @@ def fields(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(where.index(x)) for x in names]
 
 
-def table_folder(spark) -> str:
-    """A new path in the shared folder that the session names; a local one only where none is named (tests)."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.gettempdir() + "/gleanery-tables"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df):
     """The same rows, written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = table_folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables) -> None:
+    """Remove written() tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

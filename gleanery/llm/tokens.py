@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
 
+LONGEST_KEPT = 256  # bytes of a part whose ids are kept between blocks
 _LABEL = np.full(256, 3, np.int8)  # apostrophe and all beyond ASCII: never a cut
 _LABEL[:128] = 2
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
@@ -31,6 +32,22 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def distinct(joined: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(the distinct parts, the place of each part among them). Hashes find equal parts; their bytes are then compared."""
+    _, at, back = np.unique(tk.hash_words(buf, starts, ends), return_index=True, return_inverse=True)
+    back = back.reshape(-1)
+    size, like = ends - starts, at[back]
+    same = bool((size == size[like]).all())
+    if same:
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = bool((buf[np.repeat(starts, size) + within] == buf[np.repeat(starts[like], size) + within]).all())
+    if same:
+        return [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], back
+    places: dict[bytes, int] = {}
+    back = np.array([places.setdefault(joined[a:b], len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return list(places), back
+
+
 class Encoder:
     """Encodes blocks of texts; keeps the ids of up to `keep` parts between blocks."""
 
@@ -40,7 +57,7 @@ class Encoder:
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.first, self.count, self.ids, self.used, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
     def _learn(self, parts: list[bytes]) -> None:
@@ -72,20 +89,19 @@ class Encoder:
         bounds = np.searchsorted(starts, first)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        hashes, at, back = np.unique(tk.hash_words(buf, starts, ends), return_index=True, return_inverse=True)
+        parts, back = distinct(joined, buf, starts, ends)
         if self.known > 2 * self.keep:
             self.slot.clear()
             self.known = self.used = 0
-        keys = hashes.tolist()
-        slots = [self.slot.get(k, -1) for k in keys]
+        slots = [self.slot.get(p, -1) for p in parts]
         if new := [i for i, s in enumerate(slots) if s < 0]:
             base = self.known
-            self._learn([joined[starts[at[i]] : ends[at[i]]] for i in new])
+            self._learn([parts[i] for i in new])
             for j, i in enumerate(new):
                 slots[i] = base + j
             if len(self.slot) < self.keep:
-                self.slot.update((keys[i], slots[i]) for i in new)
-        slots = np.array(slots, np.int64)[back.reshape(-1)]
+                self.slot.update((parts[i], slots[i]) for i in new if len(parts[i]) <= LONGEST_KEPT)
+        slots = np.array(slots, np.int64)[back]
         count = self.count[slots]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
@@ -130,7 +146,8 @@ def suffix_sums(histogram: DataFrame, span: int = 512) -> DataFrame:
 
     Sums run inside spans of `span` lengths, and over the spans' totals, so that no task
     holds more than the lengths of one span or one row for each span. The histogram is
-    written first, as it is read twice and texts shall be encoded once.
+    written first, as it is read twice and texts shall be encoded once. An empty histogram
+    gives no rows; lengths are never null.
     """
     h = tk.written(histogram).withColumn("span", F.expr(f"n_tokens div {span}"))
     tokens = F.col("n_tokens") * F.col("n_docs")
@@ -150,12 +167,33 @@ def suffix_sums(histogram: DataFrame, span: int = 512) -> DataFrame:
 
 
 def quantiles(sums: DataFrame, levels: list[float]) -> DataFrame:
-    """level, n_tokens: the least length that at least this share of the documents does not exceed."""
-    levels = sums.sparkSession.createDataFrame([(float(x),) for x in levels], "level double")
-    return sums.join(F.broadcast(levels), F.col("quantile") >= F.col("level")).groupBy("level").agg(F.min("n_tokens").alias("n_tokens"))
+    """level, n_tokens: the least length that at least this share of the documents does not exceed.
+
+    One aggregate over the suffix sums answers all levels. No documents give null lengths, no levels no rows.
+    """
+    return _answers(sums, "level double, n_tokens long", [(float(x), F.min(F.when(F.col("quantile") >= x, F.col("n_tokens")))) for x in levels])
+
+
+def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, tokens kept if every document is cut to it: for any limits, also between the lengths that occur.
+
+    The suffix sums at the least length from a limit on say how many documents are cut
+    there and how many tokens the shorter ones have. A limit beyond all lengths cuts
+    nothing, no documents have 0 tokens, no limits give no rows.
+    """
+
+    def kept(limit: int):
+        cut = F.min(F.when(F.col("n_tokens") >= limit, F.struct("n_tokens", "tokens_from", "docs_from")))
+        return F.coalesce(F.max("tokens_total") - F.coalesce(cut["tokens_from"] - cut["docs_from"] * limit, F.lit(0)), F.lit(0))
+
+    return _answers(sums, "context_limit long, tokens long", [(int(x), kept(int(x))) for x in limits])
 
 
-def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, tokens kept if every document is cut to it: for any limits, also between the lengths that occur."""
-    limits = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    return histogram.join(F.broadcast(limits)).groupBy("context_limit").agg(F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("tokens"))
+def _answers(sums: DataFrame, schema: str, asked: list[tuple]) -> DataFrame:
+    """One row (question, answer) for each question, from one aggregate."""
+    if not asked:
+        return sums.sparkSession.createDataFrame([], schema)
+    (question, kind), (name, answer) = (x.split() for x in schema.split(", "))
+    one = sums.agg(*(a.alias(f"a{i}") for i, (_, a) in enumerate(asked)))
+    pairs = F.array(*(F.struct(F.lit(q).cast(kind).alias(question), F.col(f"a{i}").cast(answer).alias(name)) for i, (q, _) in enumerate(asked)))
+    return one.select(F.inline(pairs))
