@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -526,6 +527,46 @@ def test_min_cut_is_minimal():
         assert cost(htmltext.min_cut(pull, edges)) == pytest.approx(best)
 
 
+def test_labels_of_random_pages_are_cheapest():
+    rng = random.Random(4)
+    for _ in range(40):
+        tags = ["div", "div class=ad", "p", "section", "ul", "li", "nav", "article", "div class=content", "td", "h2"]
+        page = htmltext.blocks("".join(f"<{rng.choice(tags)}>{' '.join(['word'] * rng.choice([1, 4, 12, 40]))}{rng.choice(['.', ''])}{rng.choice(['', '</div>', '</p>', '<a>link link</a>'])}" for _ in range(9)))
+        pull = [htmltext.odds(b) for b in page]
+        known = [b.bias <= htmltext.FORM for b in page]
+        ties = [(i - 1, i, htmltext.NEAR / (1 + b.step)) for i, b in enumerate(page) if i and known[i - 1] == known[i]]
+        for i, b in enumerate(page):
+            before = [k for k in range(i) if page[k].container == b.container]
+            if before and known[before[-1]] == known[i]:
+                ties.append((before[-1], i, htmltext.SIBLING))
+
+        def cost(side, pull=pull, ties=ties):
+            return sum(abs(p) for p, s in zip(pull, side, strict=True) if (p > 0) != bool(s)) + sum(w for a, b, w in ties if side[a] != side[b])
+
+        best = min(cost([m >> i & 1 for i in range(len(page))]) for m in range(1 << len(page)))
+        assert cost(htmltext.label(page)) == pytest.approx(best, abs=1e-4)
+
+
+def test_paragraphs_between_adverts_stay():
+    said = [f"Paragraph {i} says something of its own in a short sentence." for i in range(2000)]
+    assert htmltext.main_text("".join(f"<div class=ad>Buy {i}</div><div><p>{t}</p></div>" for i, t in enumerate(said))) == " ".join(said)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='with-cookie-notice page'", "div class=no-footer"])
+def test_a_wrapper_with_a_modifier_is_no_boilerplate(wrapper):
+    assert htmltext.main_text(f"<{wrapper}>{PAGE}</div>") == htmltext.main_text(PAGE)
+    assert htmltext.main_text("<div class=sidebar><main><p>Said in main.</p></main></div>") == "Said in main."
+
+
+def test_large_and_deep_pages():
+    sentence = "A sentence of the article that goes on for a while."
+    for page in ("<div>" * 100_000 + f"<p>{sentence}", "".join(f"<div>{sentence}" for _ in range(30_000)), "<article>" + f"<p>{sentence}" * 60_000, "<p><button>" + "<div>x" * 30_000, "<span class=promo>" * 30_000 + "<li>x<b>" * 30_000 + "</span>" * 30_000):
+        began = time.perf_counter()
+        htmltext.main_text(page)
+        assert time.perf_counter() - began < 10
+    assert htmltext.main_text("<article>" + f"<p>{sentence}" * 60_000) == " ".join([sentence] * 60_000)
+
+
 def test_pages(spark):
     d = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 5), (2, "v", "", 5), (3, "w", "<p>" + "word " * 200_000, 5)], "page_id long, url string, html string, text int")
     got = [(r.page_id, r.text[:8], r.n_chars) for r in htmltext.extract(d).collect()]
