@@ -21,8 +21,19 @@ def read(spark, sf_dir, name):
 
 @query
 def op1_suffix_dedup(spark, sf_dir):
-    """Passages of 50 words or more that two documents share: one row for each, the copy first."""
-    return suffix_array.find_repeats(read(spark, sf_dir, "documents"))
+    """Passages of 50 words or more of a document that a document of smaller id has as well."""
+    return suffix_array.copied_passages(read(spark, sf_dir, "documents"))
+
+
+_COPIED = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
+copied AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE first_doc < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM copied)"""
+ORACLES["op1_suffix_dedup"] = f"""{_COPIED}
+SELECT doc_id, CAST(min(p) - 1 AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n_words
+FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM gone) GROUP BY doc_id, run"""
 
 
 @query
@@ -67,12 +78,7 @@ def op5_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-ORACLES["op5_substring_dedup"] = r"""
-WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
-firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
-copied AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE first_doc < doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM copied),
+ORACLES["op5_substring_dedup"] = rf"""{_COPIED},
 lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS s
          FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
@@ -117,6 +123,14 @@ def op9_html_extraction(spark, sf_dir):
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
+# States the result where every page has one article, of headings and paragraphs, and all else lies outside it.
+ORACLES["op9_html_extraction"] = r"""
+WITH inner_html AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(h1|p|br)(\s[^>]*)?>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM inner_html),
+decoded AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM bare)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded"""
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

@@ -109,15 +109,8 @@ def join_overlaps(start: np.ndarray, length: np.ndarray, place: np.ndarray) -> l
     return [(a, b - a, a + shift) for a, b, shift in out]
 
 
-def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, n_words, other_doc_id, other_start: passages of at least `window` words that also stand in a document of smaller id.
-
-    Every word of such a passage is in a row of its document, and each document that
-    shares one is in some row, as the copy or as the other.
-    Offsets count words between white space. Documents of equal id are one for this
-    purpose, null ids come last and are given as null, null, empty and shorter texts have
-    no passages, extra columns are ignored, an empty table gives no rows.
-    """
+def matches(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """id, version, start, length, other, place: words of a document that also stand, at `place`, in the document `other` of smaller id."""
     rows = anchors.keyed(documents)
     shared = anchors.shared_segments(rows, window, gram)
     firsts = anchors.representatives(shared)
@@ -140,8 +133,23 @@ def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lefts, pa.binary()), pa.array(np.repeat(ids.to_numpy(), n)), pa.array(np.repeat(versions.to_numpy(), n)), pa.array(at.astype(np.int32))], ["key", "left", "id", "version", "at"])
 
     entries = tk.written(texts.mapInArrow(cut_out, ENTRY))
-    matches = looked_up.unionByName(neighbour_matches(entries, window, gram))
-    found = matches.groupBy("id", "version", "other").agg(F.collect_set(F.struct("start", "length", "place")).alias("spans"))
+    return looked_up.unionByName(neighbour_matches(entries, window, gram))
+
+
+def _given(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
+
+
+def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, start, n_words, other_doc_id, other_start: passages of at least `window` words that also stand in a document of smaller id.
+
+    Every word of such a passage is in a row of its document, and each document that
+    shares one is in some row, as the copy or as the other.
+    Offsets count words between white space. Documents of equal id are one for this
+    purpose, null ids come last and are given as null, null, empty and shorter texts have
+    no passages, extra columns are ignored, an empty table gives no rows.
+    """
+    found = matches(documents, window, gram).groupBy("id", "version", "other").agg(F.collect_set(F.struct("start", "length", "place")).alias("spans"))
 
     def joined(batches):
         for batch in batches:
@@ -151,5 +159,23 @@ def find_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -
             s, n, o = (pa.array([x[i] for y in spans for x in y], pa.int64()) for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), s, n, batch.column(2).take(pa.array(at)), o], ["doc_id", "start", "n_words", "other_doc_id", "other_start"])
 
-    out = tk.small_batches(found).mapInArrow(joined, "doc_id long, start long, n_words long, other_doc_id long, other_start long")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
+    return _given(tk.small_batches(found).mapInArrow(joined, "doc_id long, start long, n_words long, other_doc_id long, other_start long"))
+
+
+def copied_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, start, n_words: the runs of words of each document that find_repeats() covers, whichever documents they stand in.
+
+    Passages that touch or overlap are one run. Cases as in find_repeats(); rows of one id
+    with different texts have their runs each, rows with the same text once.
+    """
+    found = matches(documents, window, gram).groupBy("id", "version").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+
+    def united(batches):
+        for batch in batches:
+            own, (start, length) = lists(batch.column(2))
+            runs = [join_overlaps(*(x[a:b] for x in (start, length, start))) for a, b in zip(own, own[1:], strict=False)]
+            at = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+            s, n = (pa.array([x[i] for y in runs for x in y], pa.int64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), s, n], ["doc_id", "start", "n_words"])
+
+    return _given(tk.small_batches(found).mapInArrow(united, "doc_id long, start long, n_words long"))

@@ -10,14 +10,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import __spark_entry__
 import corpus_pipeline
 from gleanery.llm import decontaminate, packing, pii, toxicity
+from gleanery.llm.queries import ORACLES
 from test_llm_operators import brute_components, plain_best_fit
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_decontamination", "op5_substring_dedup", "op6_ngram_jaccard"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = __spark_entry__.queries()[name](spark, SMALL)
     want = duckdb.sql(__spark_entry__.oracle_sql()[name])
