@@ -1,8 +1,8 @@
 """Personal data: pattern detection, and a second look through offset-preserving transducers.
 
 The transducers rewrite disguises (homoglyphs, invisible characters, spelled digits,
-"at" and "dot" in words or brackets) into plain characters and keep, for each output
-character, the source range it stands for. Identifiers found in the rewritten text are
+"at" and "dot" in words or brackets) into plain characters. Each keeps the ranges it
+rewrote, so that any range of its output can be taken back to its input. Identifiers found in the rewritten text are
 mapped back to the source. They only add spans: what the patterns find in the text as it
 stands is always kept.
 """
@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,15 +77,19 @@ def detect(text: str) -> list[Span]:
 
 # Characters that look like Latin ones, and the Latin characters.
 _LOOKS = str.maketrans("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαονικρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaovikptuABEZHIKMNOPTYX")
-_INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _NUMERALS = (
     "zero oh zéro null cero", "one un une eins uno", "two deux zwei dos", "three trois drei tres", "four quatre vier cuatro",
     "five cinq fünf cinco", "six sechs seis", "seven sept sieben siete", "eight huit acht ocho", "nine neuf neun nueve",
 )
 _DIGIT_WORDS = {w: str(d) for d, words in enumerate(_NUMERALS) for w in words.split()}
-_SPELT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _ATS, _DOTS = "at|arroba|arobase|ät", "dot|punkt|point|punto"
+_SPELT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?:{_SPELT})(?:[ ,.-]{{1,2}}(?:{_SPELT}|[0-9]))*[ ,.-]{{1,2}}(?:{_SPELT})(?![A-Za-z])")
+_PART = rf"(?:{_SPELT}|[0-9]{{1,3}})(?:[ -](?:{_SPELT}|[0-9])){{0,2}}"
+_SPOKEN_DOT = re.compile(rf"(?i)[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}")
+_SPOKEN_IP = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{_PART}{_SPOKEN_DOT.pattern[4:]}){{3}}{_PART}(?![A-Za-z0-9])")
 _SPOKEN_ONE = re.compile(rf"(?i){_SPELT}|[0-9]")
 _PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[ -]+(?=[0-9])")
 _AT = re.compile(rf"(?i)[ \t]{{0,3}}(?:\[[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\]|\([ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\)|\{{[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}\}}|<[ \t]{{0,3}}(?:{_ATS}|@)[ \t]{{0,3}}>|(?<![-A-Za-z0-9])[_-]at[_-](?![-A-Za-z0-9])|(?<=[ \t])@(?=[ \t]))[ \t]{{0,3}}")
@@ -102,7 +109,8 @@ _NO_MAILBOX = frozenset(
 _MARKED = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:{_ATS}|{_DOTS}|@|\.)[ \t]{{0,3}}[\])}}>]|[_-]at[_-]|[ \t]@[ \t]")
 _SPELT_PAIR = re.compile(rf"[^a-z](?:{_SPELT})[ ,.-]{{1,2}}(?:{_SPELT}|[0-9])(?![a-z])")
 _FOLDED = re.compile("[İıſK]")
-_ODD = re.compile(r"[\u00ad\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2060\u2460-\u2468\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
+_RANGES = ((0x00AD, 0x00AD), (0x0370, 0x052F), (0x0660, 0x0669), (0x06F0, 0x06F9), (0x0966, 0x096F), (0x200B, 0x200D), (0x2060, 0x2060), (0x2460, 0x2468), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF))
+_ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _RANGES) + "]")
 
 
 def calls(text: str) -> bool:
@@ -139,36 +147,63 @@ def addressed(text: str, at: int, host: int) -> bool:
     return any(c in "0123456789._%+" for c in name) or (before in _CUES if m[1] else True)
 
 
-class Tape:
-    """A text under rewriting: each character's source range, and whether it was rewritten."""
+class Transducer:
+    """What one pass over a text wrote, and the way back.
 
-    def __init__(self, text: str):
-        self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
-
-    def put(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace ranges, given in order and without overlap; each output character stands for its whole range."""
-        if not edits:
-            return
-        text, start, end, new, at = [], [], [], bytearray(), 0
-        for a, b, out in [*edits, (len(self.text), len(self.text), "")]:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            new += self.new[at:a]
-            if out:
-                text.append(out)
-                start += [self.start[a]] * len(out)
-                end += [self.end[b - 1]] * len(out)
-                new += b"\1" * len(out)
-            elif b > a and new:
-                new[-1] = 1  # a deletion marks the character before it
+    `edits` are ranges of the input, in order and without overlap, with what they became;
+    all else is copied. Only the edits are kept, in arrays of 8 bytes a number, so a long
+    text with few disguises costs little more than itself.
+    """
+
+    def __init__(self, text: str, edits: Iterable[tuple[int, int, str]]):
+        self.in_start, self.in_end, self.out_start, self.out_end = (array("q") for _ in range(4))
+        out, at, size = [], 0, 0
+        for a, b, said in edits:
+            out += [text[at:a], said]
+            size += a - at
+            self.in_start.append(a)
+            self.in_end.append(b)
+            self.out_start.append(size)
+            size += len(said)
+            self.out_end.append(size)
             at = b
-        self.text, self.start, self.end, self.new = "".join(text), start, end, new
+        self.text = "".join([*out, text[at:]]) if at or out else text
+
+    def touched(self, a: int, b: int) -> bool:
+        """Whether the output range has anything rewritten in it; a deletion must lie inside."""
+        i = max(bisect_right(self.out_start, a) - 1, 0)
+        while i < len(self.out_start) and self.out_start[i] < b:
+            if self.out_end[i] > a and (self.out_end[i] > self.out_start[i] or self.out_start[i] > a):
+                return True
+            i += 1
+        return False
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The input range of an output range; a rewritten character stands for all it was written for."""
+
+        def place(p: int, inside: array, beyond: int) -> int:
+            i = bisect_right(self.out_start, p) - 1
+            if i < 0:
+                return p + beyond
+            return inside[i] if p < self.out_end[i] else p + beyond + self.in_end[i] - self.out_end[i]
+
+        return place(a, self.in_start, 0), place(b - 1, self.in_end, 1)
+
+
+class Plainer(Transducer):
+    """The pass over single characters: one for one, so that no place moves."""
+
+    def __init__(self, text: str):
+        self.before, self.text = text, text.translate(_PLAIN)
+
+    def touched(self, a: int, b: int) -> bool:
+        return self.text[a:b] != self.before[a:b]
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        return a, b
 
 
 def _plain(c: str) -> str:
-    if c in _INVISIBLE:
-        return ""
     if (x := c.translate(_LOOKS)) != c:
         return x
     if unicodedata.category(c) == "Nd":
@@ -177,30 +212,86 @@ def _plain(c: str) -> str:
     return x if len(x) == 1 and x.isascii() else c
 
 
-def deobfuscate(text: str) -> Tape:
-    """The transducers in turn: characters, spelled digits, at, dot."""
-    tape = Tape(text)
-    tape.put([(m.start(), m.end(), x) for m in _ODD.finditer(tape.text) if (x := _plain(m[0])) != m[0]])
-    tape.put([(m.start(), m.end(), "".join(_DIGIT_WORDS.get(w.lower(), w) for w in _SPOKEN_ONE.findall(m[0]))) for m in _SPOKEN.finditer(tape.text)])
-    tape.put([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
-    tape.put([(m.start(), m.end(), "@") for m in _WORDY_AT.finditer(tape.text) if addressed(tape.text, m.start(), m.end())])
-    tape.put([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
-    tape.put([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    tape.put([(m.start(), m.end(), ".") for m in _WORDY_DOT.finditer(tape.text)])
-    return tape
+# By rule: every character that _ODD knows and that reads as one ASCII character.
+_PLAIN = {k: x for lo, hi in _RANGES for k in range(lo, hi + 1) if chr(k) not in _INVISIBLE and (x := _plain(chr(k))) != chr(k)}
+
+
+def _digits(said: str) -> str:
+    return "".join(_DIGIT_WORDS.get(w.lower(), w) for w in _SPOKEN_ONE.findall(said))
+
+
+def _spoken_ip(m: re.Match) -> str:
+    return ".".join(_digits(x) for x in _SPOKEN_DOT.split(m[0]))
+
+
+def _invisible(text: str):
+    return ((m.start(), m.end(), "") for m in _HIDDEN.finditer(text))
+
+
+def _rewrites(pattern: re.Pattern, said, when=None):
+    def edits(text: str):
+        for m in pattern.finditer(text):
+            if when is None or when(text, m.start(), m.end()):
+                yield m.start(), m.end(), said if isinstance(said, str) else said(m)
+
+    return edits
+
+
+PASSES = (
+    _invisible,
+    _rewrites(_SPOKEN_IP, _spoken_ip),
+    _rewrites(_SPOKEN, lambda m: _digits(m[0])),
+    _rewrites(_PLUS, "+"),
+    _rewrites(_WORDY_AT, "@", addressed),
+    _rewrites(_AT, "@"),
+    _rewrites(_DOT, "."),
+    _rewrites(_WORDY_DOT, "."),
+)
+
+
+def deobfuscate(text: str) -> list[Transducer]:
+    """The transducers in turn: characters, then spelled addresses and digits, plus, at, dot. Those that changed nothing are left out."""
+    out = [first] if (first := Plainer(text)).text != text else []
+    for edits in PASSES:
+        if (t := Transducer(text := out[-1].text if out else text, edits(text))).in_start:
+            out.append(t)
+    for t in out[1:-1]:
+        t.text = ""
+    return out
+
+
+class Disjoint:
+    """The base spans of each kind, which never overlap within it, for looking up what meets a range."""
+
+    def __init__(self, base: list[Span]):
+        self.start, self.end = {k: [] for k in KINDS}, {k: [] for k in KINDS}
+        for kind, a, b in sorted(base, key=lambda s: s[1]):
+            self.start[kind].append(a)
+            self.end[kind].append(b)
+
+    def allow(self, kind: str, a: int, b: int) -> bool:
+        """Whether the range is clear of all spans, or wider than those of its kind that it meets and holds them whole."""
+        for k in KINDS:
+            lo, hi = bisect_right(self.end[k], a), bisect_left(self.start[k], b)
+            if lo < hi and (k != kind or self.start[k][lo] < a or self.end[k][hi - 1] > b or (self.start[k][lo], self.end[k][lo]) == (a, b)):
+                return False
+        return True
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets: clear of the base spans, or around those of its kind."""
     if not calls(text):
         return []
-    tape = deobfuscate(text)
-    out = []
-    for kind, a, b in detect(tape.text):
-        if not any(tape.new[a:b]):
-            continue
-        a, b = tape.start[a], tape.end[b - 1]
-        if all(k == kind and a <= x and y <= b for k, x, y in base if x < b and a < y):
+    passes = deobfuscate(text)
+    if not passes:
+        return []
+    out, known = [], Disjoint(base)
+    for kind, a, b in detect(passes[-1].text):
+        changed = False
+        for t in reversed(passes):
+            changed = changed or t.touched(a, b)
+            a, b = t.source(a, b)
+        if changed and known.allow(kind, a, b):
             out.append((kind, a, b))
     return out
 

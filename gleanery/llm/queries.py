@@ -141,3 +141,56 @@ def op10_pii(spark, sf_dir):
     found = pii.find_pii(read(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+@query
+def pii_base(spark, sf_dir):
+    """What the four base patterns of op10_pii find."""
+    return op10_pii(spark, sf_dir).drop("spans", "n_added")
+
+
+def _found(kind: str, pattern: str, keep: str) -> str:
+    """Matches of a pattern with their offsets: the parts between the matches and the matches themselves add up to them."""
+    size = "list_transform({}, lambda x: length(x))"
+    before = f"coalesce(list_sum({size.format('parts[1:i]')}), 0) + coalesce(list_sum({size.format('m[1:i - 1]')}), 0)"
+    return f"""SELECT doc_id, '{kind}' AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b FROM
+  (SELECT doc_id, m[i] AS v, {before} AS a FROM (SELECT doc_id, m, parts, unnest(range(1, len(m) + 1)) AS i
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS parts FROM texts))) WHERE {keep}"""
+
+
+_NUMBER = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_NUMBER}) + 1), lambda k: CASE WHEN (length({_NUMBER}) - k) % 2 = 0 THEN CAST(({_NUMBER})[k] AS INT) ELSE CAST(({_NUMBER})[k] AS INT) * 2 - CASE WHEN CAST(({_NUMBER})[k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+ORACLES["pii_base"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_found("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}
+UNION ALL {_found("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS HUGEINT), 999) > 255)) = 0")}
+UNION ALL {_found("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_NUMBER}) BETWEEN 13 AND 19 AND {_LUHN}")}
+UNION ALL {_found("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_NUMBER}) BETWEEN 9 AND 15")}),
+ranked AS (SELECT *, CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 ELSE 3 END AS k FROM found)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)},
+       sha256(coalesce(string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY k, a) FILTER (kind IS NOT NULL), '')) AS base_sha256
+FROM texts LEFT JOIN ranked USING (doc_id) GROUP BY doc_id"""
+
+
+@query
+def held_out_documents(spark, sf_dir):
+    """The test fold of op7_toxicity."""
+    return read(spark, sf_dir, "documents").select("doc_id", toxicity.in_test_fold().alias("held_out"))
+
+
+# crc32 bit by bit: each byte is mixed in, and eight steps follow it.
+ORACLES["held_out_documents"] = """
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+       lambda crc, k: CASE WHEN k >= 0 THEN xor(crc, k) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) % 5 = 0 AS held_out FROM documents"""
+
+
+@query
+def edited_documents(spark, sf_dir):
+    """The edited texts that op3_fingerprints compares, by length and digest."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+ORACLES["edited_documents"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pairs AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS n FROM texts)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(concat(left(t, CAST(length(t) - length(t) // 4 AS BIGINT)), left(n, CAST(length(t) // 4 AS BIGINT)))) AS edited_sha256 FROM pairs"""
