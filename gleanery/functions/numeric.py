@@ -16,8 +16,8 @@ def _bracketed(s: Column) -> Column:
 
 def _unsigned(s: Column) -> Column:
     """Without outer parentheses and one leading sign."""
-    inner = lambda t: F.when(t.startswith("-") | t.startswith("+"), F.substr(t, F.lit(2))).otherwise(t)
-    return let(F.when(_bracketed(s), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), inner)
+    bare = lambda t: F.when(t.startswith("-") | t.startswith("+"), F.substr(t, F.lit(2))).otherwise(t)
+    return F.when(_bracketed(s), let(F.substr(s, F.lit(2), F.length(s) - 2), bare)).otherwise(bare(s))
 
 
 def negative(s: Column) -> Column:
@@ -26,53 +26,61 @@ def negative(s: Column) -> Column:
 
 def _separators(s: Column) -> Column:
     """The digits with a dot as decimal separator; null for one dot before more than two digits, which could be either."""
-    comma, dot = F.length(s) - F.length(F.replace(s, F.lit(","))), F.length(s) - F.length(F.replace(s, F.lit(".")))
     after = lambda c: F.length(F.substring_index(s, c, -1))
     plain = F.replace(s, F.lit(","))
-    return (
-        F.when((comma > 0) & (dot > 0) & (after(",") < after(".")), let(F.replace(s, F.lit(".")), lambda t: F.overlay(t, F.lit("."), F.instr(t, ","), F.lit(1))))
-        .when((comma > 0) & (dot > 0), plain)
-        .when((comma == 1) & (after(",") <= 2), F.replace(s, F.lit(","), F.lit(".")))
-        .when(comma > 0, plain)
-        .when(dot > 1, F.replace(s, F.lit(".")))
-        .when((dot == 1) & (after(".") > 2), F.lit(None).cast("string"))
-        .otherwise(s)
-    )
 
+    def judge(n: Column) -> Column:
+        comma, dot = n["comma"], n["dot"]
+        return (
+            F.when((comma == 0) & (dot == 0), s)
+            .when(comma == 0, F.when(dot > 1, F.replace(s, F.lit("."))).when(after(".") <= 2, s))
+            .when(dot > 0, F.when(after(",") < after("."), let(F.replace(s, F.lit(".")), lambda t: F.overlay(t, F.lit("."), F.instr(t, ","), F.lit(1)))).otherwise(plain))
+            .when((comma == 1) & (after(",") <= 2), F.replace(s, F.lit(","), F.lit(".")))
+            .otherwise(plain)
+        )
 
-def normalize_number(c) -> Column:
-    """struct(str, multiplier, negative) of a number in text; null if there is none that is clear.
+    size = F.length(s)
+    return let(F.struct((size - F.length(plain)).alias("comma"), (size - F.length(F.replace(s, F.lit(".")))).alias("dot")), judge)
+
+
+def _read(c) -> Column:
+    """struct(str, multiplier, negative) of any text; str may hold no number, or be null.
 
-    A suffix is read from the last characters, not by a pattern: this runs for every value.
+    A suffix is read from the last characters, not by a pattern: this runs for every
+    value. What is used more than once is computed once, and only where it is needed.
     """
     kept = lambda s: strip(F.regexp_replace(_unsigned(s), rf"[^0-9.,kKmMbB{WIDE}]", ""))
     digit_last = lambda t: F.right(t, F.lit(1)).between("0", "9")
 
+    def parts(k: Column) -> Column:
+        last, rest = F.right(k, F.lit(1)), F.substr(k, F.lit(1), F.length(k) - 1)
+        scaled = lambda b: F.when(digit_last(b) & (~last.isin("b", "B") | (F.length(b) < F.length(rest))), b)
+        return F.struct(k.alias("k"), F.when(last.isin("k", "K", "m", "M", "b", "B"), let(strip_right(rest), scaled)).alias("body"))
+
     def read(s: Column) -> Column:
-        def suffixes(k: Column) -> Column:
-            def parts(p: Column) -> Column:
-                suffix = F.when(digit_last(p["body"]), F.when((p["last"] == "b") & (p["rest"] != p["body"]), "b").when(p["last"].isin("k", "m"), p["last"]))
-                factor = F.when(suffix.isin("b", "k"), 1000.0).when(suffix == "m", 1e6).otherwise(1.0)
-                return F.struct(_separators(F.when(suffix.isNotNull(), p["body"]).otherwise(k)).alias("str"), factor.alias("multiplier"), negative(s).alias("negative"))
+        def done(p: Column) -> Column:
+            factor = F.when(p["body"].isNull(), 1.0).when(F.right(p["k"], F.lit(1)).isin("m", "M"), 1e6).otherwise(1000.0)
+            return F.struct(let(F.coalesce(p["body"], p["k"]), _separators).alias("str"), factor.alias("multiplier"), negative(s).alias("negative"))
+
+        return let(let(kept(s), parts), done)
 
-            rest = F.substr(k, F.lit(1), F.length(k) - 1)
-            return F.when(k.rlike("[0-9]"), let(F.struct(F.lower(F.right(k, F.lit(1))).alias("last"), rest.alias("rest"), strip_right(rest).alias("body")), parts))
+    return let(strip(col(c)), read)
 
-        return let(kept(s), suffixes)
 
-    found = let(strip(col(c)), read)
-    return let(found, lambda n: F.when(n["str"].rlike(_FLOAT), n))
+def normalize_number(c) -> Column:
+    """struct(str, multiplier, negative) of a number in text; null if there is none that is clear."""
+    return let(_read(c), lambda n: F.when(n["str"].rlike(_FLOAT), n))
 
 
 def to_double(n: Column) -> Column:
-    """The value of a normalize_number() struct."""
-    value = F.regexp_extract(n["str"], _FLOAT, 1).try_cast("double") * n["multiplier"]
-    return F.when(n["negative"], -value).otherwise(value)
+    """The value of a struct(str, multiplier, negative); null if str does not begin with a number."""
+    value = lambda m: F.when(m != "", m.cast("double") * n["multiplier"] * F.when(n["negative"], -1.0).otherwise(1.0))
+    return let(F.regexp_extract(n["str"], _FLOAT, 1), value)
 
 
 def parse_numeric(c) -> Column:
     """The number in the text as a double, or null."""
-    return let(normalize_number(c), lambda n: F.when(n.isNotNull(), to_double(n)))
+    return let(_read(c), to_double)
 
 
 def price_change(old, new) -> Column:

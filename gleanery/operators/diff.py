@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ def diff_key(columns: dict[str, str], mode: str) -> Column:
     return F.struct(*(compared(n, columns[n]).alias(f"k{i}") for i, n in enumerate(names)))
 
 
-def price_columns(previous: DataFrame, current: DataFrame, columns: list[str], first: int = 50) -> list[str]:
-    """Columns named like a price, or where half of the values in the first rows of both sides show a currency."""
+def price_columns(previous: DataFrame, current: DataFrame, columns: list[str]) -> list[str]:
+    """Columns named like a price, or where half of the values of both sides show a currency: one aggregate over all rows."""
     named = [c for c in columns if PRICE_NAME.search(c)]
     rest = [c for c in columns if c not in named]
     if rest:
-        head = [f.filter(F.col(POS) < first).select(*(text(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))) for f in (previous, current)]
-        shares = head[0].unionByName(head[1]).agg(*(F.avg(F.when(F.col(f"c{i}") != "", F.col(f"c{i}").rlike(CURRENCY_HINT).cast("double"))).alias(f"c{i}") for i in range(len(rest)))).first()
+        sides = [f.select(*(text(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))) for f in (previous, current)]
+        shares = sides[0].unionByName(sides[1]).agg(*(F.avg(F.when(F.col(f"c{i}") != "", F.col(f"c{i}").rlike(CURRENCY_HINT).cast("double"))).alias(f"c{i}") for i in range(len(rest)))).first()
         named += [c for i, c in enumerate(rest) if shares[i] is not None and shares[i] >= 0.5]
     return [c for c in columns if c in named]
 
@@ -74,20 +75,18 @@ def compare(previous: DataFrame, current: DataFrame, columns: dict[str, str], mo
     last = old.groupBy("_key").agg(F.max_by("row", POS).alias("before"))
     met = new.join(last, "_key", "left")
 
-    def field(n: str) -> Column:
-        attribute = columns[n]
-        was, now = F.col("before").getField(n), F.col("row").getField(n)
-        same = _norm(was, attribute) == _norm(now, attribute)
-        move = price_change(was, now) if n in prices else F.lit(None).cast("struct<old:double,new:double,delta:double,percent:double,direction:string>")
-        return F.when(F.col("before").isNotNull() & ~same, F.struct(F.lit(n).alias("field"), was.alias("old_value"), now.alias("new_value"), move.alias("move")))
-
-    judged = met.withColumn("changes", F.array_compact(F.array(*(field(n) for n in names))))
-    kind = F.when(F.col("before").isNull(), "new").when(F.size("changes") == 0, "unchanged").otherwise("changed")
-    judged = judged.select(POS, kind.alias("change_type"), "row", "changes")
+    was, now = (lambda n: F.col("before").getField(n)), (lambda n: F.col("row").getField(n))
+    differs = {n: _norm(was(n), columns[n]) != _norm(now(n), columns[n]) for n in names}
+    some = reduce(lambda a, b: a | b, differs.values())
+    kind = F.when(F.col("before").isNull(), "new").when(some, "changed").otherwise("unchanged")
     gone = old.join(new.select("_key").distinct(), "_key", "left_anti").select(POS, F.lit("removed").alias("change_type"), "row")
-    rows = judged.select(POS, "change_type", "row").unionByName(gone)
-    fields = judged.filter(F.col("change_type") == "changed").select(POS, "row", F.explode("changes").alias("c"))
-    fields = fields.select(POS, "row", "c.field", "c.old_value", "c.new_value", F.col("c.move.delta").alias("delta"), F.col("c.move.percent").alias("percent"), F.col("c.move.direction").alias("direction"))
+    rows = met.select(POS, kind.alias("change_type"), "row").unionByName(gone)
+
+    changed = F.array_compact(F.array(*(F.when(d, F.struct(F.lit(n).alias("field"), was(n).alias("old_value"), now(n).alias("new_value"))) for n, d in differs.items())))
+    fields = met.filter(F.col("before").isNotNull() & some).select(POS, "row", F.inline(changed))
+    # prices are read after the values are known to differ, at one place of the plan
+    move = F.when(F.col("field").isin(prices), price_change("old_value", "new_value")) if prices else F.lit(None).cast("struct<delta:double,percent:double,direction:string>")
+    fields = fields.withColumn("move", move).select(POS, "row", "field", "old_value", "new_value", *(F.col(f"move.{x}") for x in ("delta", "percent", "direction")))
     return Comparison(rows, fields)
 
 
