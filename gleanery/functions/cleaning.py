@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from gleanery.functions import numeric, urls
 from gleanery.functions.text import W, WIDE, blank, col, collapse, let, number_text, options_list, quoted, strip, text
 
-MAX_REGEX_INPUT = 5000
-
 # What the steps know by name.
 INVISIBLE = "​‌‍⁠﻿­"
-CURRENCY_SYMBOLS = "[$€£₺¥₹]"
+CURRENCY_SYMBOLS = "$€£₺¥₹"
 CURRENCY_CODES = r"(?i)\b(?:USD|EUR|GBP|TRY|JPY|INR)\b"
 ENTITIES = dict(amp="&", lt="<", gt=">", quot='"', apos="'", nbsp=" ", copy="©", reg="®", trade="™", hellip="…", mdash="—", ndash="–", lsquo="‘", rsquo="’", ldquo="“", rdquo="”", euro="€", pound="£", yen="¥", cent="¢", deg="°", middot="·", bull="•")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -137,7 +135,7 @@ def _strip_html(c, o, x):
 
 @step("removeCurrency")
 def _remove_currency(c, o, x):
-    bare = F.regexp_replace(F.regexp_replace(c, CURRENCY_SYMBOLS, ""), CURRENCY_CODES, "")
+    bare = F.regexp_replace(F.translate(c, CURRENCY_SYMBOLS, ""), CURRENCY_CODES, "")
     return strip(F.regexp_replace(bare, f"{W}{{2,}}", " "))
 
 
@@ -288,8 +286,7 @@ def _find_replace(c, o, x):
 def _regex_replace(c, o, x):
     flags = o.get("flags") or ""
     pattern, put = java_regex(o.get("pattern"), flags), java_replacement(o.get("replacement") or "")
-    done = F.regexp_replace(c, pattern, put) if "g" in flags else replace_first(c, pattern, put)
-    return F.when(F.length(c) > MAX_REGEX_INPUT, c).otherwise(done)
+    return F.regexp_replace(c, pattern, put) if "g" in flags else replace_first(c, pattern, put)
 
 
 @step("regexExtract")
@@ -301,7 +298,7 @@ def _regex_extract(c, o, x):
         found = let(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), lambda a: F.when(F.size(a) > 0, F.array_join(a, joined)).otherwise(fallback))
     else:
         found = F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group)).otherwise(fallback)
-    return F.when(c.isNull() | (F.length(c) > MAX_REGEX_INPUT), fallback).otherwise(found)
+    return F.when(c.isNull(), fallback).otherwise(found)
 
 
 step("normalizeUrl")(lambda c, o, x: urls.normalize(c, x.get("baseUrl"), bool(o.get("removeFragment"))))

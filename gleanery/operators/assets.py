@@ -9,10 +9,12 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gleanery.functions import urls
 from gleanery.functions.text import present, text
 from gleanery.operators.pipeline import POS, fill_template
+from gleanery.streaming import accumulate
 
 
 def collect_urls(df: DataFrame, column: str, skip_duplicates: bool = True) -> DataFrame:
@@ -60,27 +62,39 @@ def numbered_names(names: list[tuple[str, str | None]]) -> list[str]:
 def name_assets(queue: DataFrame, template: str, kind: str = "file") -> DataFrame:
     """Adds `filename`. Names that meet are numbered in row order.
 
-    Only names alike up to a trailing number can ever meet, so each such family is
-    numbered by itself; a family is one template value, not the table.
+    A name that no other row has stays as it is, and copies of one name are numbered by
+    their rank. Only where a family of names alike up to a trailing number holds a
+    repeated name next to others can a number meet a name that stands already; such a
+    family is numbered row by row. A nameless asset is named by its place in the queue.
     """
     columns = [c for c in queue.columns if c not in (POS, "url", "key")]
     base = urls.safe_file_name(fill_template(template, columns, F.col(POS)))
     ext = urls.extension("url")
     ext = F.coalesce(ext, F.lit("jpg")) if kind == "image" else ext
-    ranked = queue.withColumn("_base", base).withColumn("_ext", ext)
+    named = queue.withColumn("_base", base).withColumn("_ext", ext)
     blank = F.col("_base") == ""
-    if (queue.sparkSession is not None) and ranked.filter(blank).limit(1).count():
-        order = Window.partitionBy(F.lit(0)).orderBy(POS)  # a nameless asset is named by its place in the queue
-        ranked = ranked.withColumn("_i", F.row_number().over(order)).withColumn("_base", F.when(blank, F.concat(F.lit("image_" if kind == "image" else "file_"), F.when(F.col("_i") < 1000, F.lpad(F.col("_i").cast("string"), 3, "0")).otherwise(F.col("_i").cast("string")))).otherwise(F.col("_base"))).drop("_i")
-    family = F.regexp_replace(F.lower(F.concat_ws(".", "_base", "_ext")), r"(_\d+)+(?=\.[^.]*$|$)", "")
-    schema = ranked.drop("_base", "_ext").schema.add("filename", "string")
+    place = F.when(F.col("_i") < 1000, F.lpad(F.col("_i").cast("string"), 3, "0")).otherwise(F.col("_i").cast("string"))
+    if not named.filter(blank).isEmpty():
+        named = accumulate.running(named, POS, {"_i": F.lit(1).cast("long")}, {})
+        named = named.withColumn("_base", F.when(blank, F.concat(F.lit("image_" if kind == "image" else "file_"), place)).otherwise(F.col("_base"))).drop("_i")
+    named = named.withColumn("_name", F.concat_ws(".", "_base", "_ext")).withColumn("_lower", F.lower("_name"))
+    named = named.withColumn("_family", F.regexp_replace("_lower", r"(_\d+)+(?=\.[^.]*$|$)", ""))
+    names = named.groupBy("_family", "_lower").count()
+    families = names.groupBy("_family").agg(F.count(F.lit(1)).alias("_kinds"), F.max("count").alias("_most"))
+    judged = named.join(families, "_family")
+    numbered = F.concat("_base", F.when(F.col("_n") > 1, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(""), F.when(F.col("_ext").isNotNull(), F.concat(F.lit("."), "_ext")).otherwise(""))
+    out = [*queue.columns, "filename"]
+    single = judged.filter("_most = 1").withColumn("filename", F.col("_name")).select(out)
+    alike = judged.filter("_most > 1 and _kinds = 1").withColumn("_n", F.row_number().over(Window.partitionBy("_lower").orderBy(POS))).withColumn("filename", numbered).select(out)
+    mixed = judged.filter("_most > 1 and _kinds > 1").select(*queue.columns, "_base", "_ext", "_family")
 
     def number(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(POS)
-        names = numbered_names([(b, None if pd.isna(e) else e) for b, e in zip(group["_base"], group["_ext"], strict=True)])
-        return group.drop(columns=["_base", "_ext", "_family"]).assign(filename=names)
+        final = numbered_names([(b, None if pd.isna(e) else e) for b, e in zip(group["_base"], group["_ext"], strict=True)])
+        return group.drop(columns=["_base", "_ext", "_family"]).assign(filename=final)
 
-    return ranked.withColumn("_family", family).groupBy("_family").applyInPandas(number, schema)
+    schema = StructType([*queue.schema.fields, StructField("filename", StringType())])
+    return single.unionByName(alike).unionByName(mixed.groupBy("_family").applyInPandas(number, schema))
 
 
 def dataset_ids(df: DataFrame, name: str = "dataset_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
@@ -9,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.pipeline import TransformStep, import_steps
+from gleanery.operators.pipeline import StepError, TransformStep, import_steps
 from gleanery.sources.scan import Field
 
 SCHEMA_VERSION = 1
@@ -44,7 +45,7 @@ def export_job(job: Job) -> str:
 
 
 def import_job(text: str) -> Job:
-    """A job out of untrusted JSON: known keys only, sizes capped; ImportFailed says what is wrong."""
+    """A job out of untrusted JSON: known keys only; ImportFailed says what is wrong or too large. Nothing is cut off."""
     try:
         raw = json.loads(text)
     except ValueError as e:
@@ -54,16 +55,27 @@ def import_job(text: str) -> Job:
     version = raw.get("schemaVersion", 1)
     if not isinstance(version, (int, float)) or isinstance(version, bool) or version > SCHEMA_VERSION:
         raise ImportFailed(f"made by a later version ({version})")
-    word = lambda v, n=200: v[:n] if isinstance(v, str) and v.strip() else None
+
+    def word(v, most: int = 200) -> str | None:
+        if isinstance(v, str) and len(v) > most:
+            raise ImportFailed(f"a text of {len(v)} characters, more than {most}")
+        return v if isinstance(v, str) and v.strip() else None
+
     if not word(raw.get("name")):
         raise ImportFailed("no name")
     fields = []
-    for c in raw["columns"][:100] if isinstance(raw.get("columns"), list) else []:
+    if isinstance(raw.get("columns"), list) and len(raw["columns"]) > 100:
+        raise ImportFailed(f"{len(raw['columns'])} columns, more than 100")
+    for c in raw["columns"] if isinstance(raw.get("columns"), list) else []:
         if isinstance(c, dict) and word(c.get("name")) and c.get("attribute", "text") in ATTRIBUTES:
             fields.append(Field(word(c["name"]), word(c.get("selector") or c.get("relativeSelector"), 2000), c.get("attribute", "text"), word(c.get("attribute_name") or c.get("attributeName")), word(c.get("path") or c.get("structuredPath"), 500), c.get("multiple") is True))
     if not fields:
         raise ImportFailed("no usable columns")
-    return Job(word(raw["name"]), word(raw.get("containerSelector"), 2000), tuple(fields), tuple(import_steps(raw.get("transforms"))), description=word(raw.get("description"), 2000) or "")
+    try:
+        steps = tuple(import_steps(raw.get("transforms")))
+    except StepError as e:
+        raise ImportFailed(str(e)) from e
+    return Job(word(raw["name"]), word(raw.get("containerSelector"), 2000), tuple(fields), steps, description=word(raw.get("description"), 2000) or "")
 
 
 def matches_page(jobs: DataFrame, hostname: str, pathname: str) -> DataFrame:
@@ -83,10 +95,16 @@ class Store:
         return self.all().get(key, default)
 
     def set(self, key: str, value) -> None:
-        self._write({**self.all(), key: value})
+        self._change(lambda records: {**records, key: value})
 
     def remove(self, key: str) -> None:
-        self._write({k: v for k, v in self.all().items() if k != key})
+        self._change(lambda records: {k: v for k, v in records.items() if k != key})
+
+    def _change(self, change) -> None:
+        """Read, change and write under a lock, so that no other writer's change is lost."""
+        with open(self.path.with_suffix(".lock"), "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            self._write(change(self.all()))
 
     def _write(self, records: dict) -> None:
         new = self.path.with_suffix(".new")

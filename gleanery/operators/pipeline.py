@@ -22,7 +22,7 @@ from gleanery.functions.text import strip, text
 from gleanery.streaming.folders import shared_folder
 
 POS = "_pos"
-MAX_STEPS, MAX_TEXT, MAX_DEPTH = 50, 2000, 3
+MAX_STEPS, MAX_TEXT, MAX_DEPTH, MAX_ROWS = 50, 2000, 3, 100_000  # of a pipeline from outside
 
 
 @dataclass(frozen=True)
@@ -187,30 +187,51 @@ def undo(steps: list[TransformStep]) -> list[TransformStep]:
 
 def _option(v, depth: int = 0):
     if depth > MAX_DEPTH:
-        return None
+        raise StepError(f"options are nested more than {MAX_DEPTH} deep")
     if isinstance(v, str):
-        return v[:MAX_TEXT]
+        return bounded(v, MAX_TEXT, "an option")
     if v is None or isinstance(v, bool):
         return v
     if isinstance(v, (int, float)):
         return v if v == v and abs(v) != float("inf") else 0
     if isinstance(v, list):
-        return [x for x in (_option(e, depth + 1) for e in v[:50]) if x is not None]
+        return [x for x in (_option(e, depth + 1) for e in bounded(v, MAX_STEPS, "a list of options")) if x is not None]
     return None
 
 
+def bounded(v, most: int, what: str):
+    """The value; StepError if it is longer than a record from outside may be. Nothing is cut off."""
+    if len(v) > most:
+        raise StepError(f"{what} has {len(v)} entries or characters, more than {most}")
+    return v
+
+
 def import_steps(raw: Any) -> list[TransformStep]:
-    """Steps out of untrusted JSON: unknown types and malformed steps are dropped, sizes capped."""
+    """Steps out of untrusted JSON: unknown types and malformed steps are dropped, oversized ones raise StepError."""
     out = []
-    for r in raw[:MAX_STEPS] if isinstance(raw, list) else []:
+    for r in bounded(raw, MAX_STEPS, "the pipeline") if isinstance(raw, list) else []:
         if not isinstance(r, dict) or r.get("type") not in cleaning.KNOWN:
             continue
-        column = r["column"][:100] if isinstance(r.get("column"), str) and r["column"] else None
+        column = bounded(r["column"], MAX_TEXT, "a column name") if isinstance(r.get("column"), str) and r["column"] else None
         if r["type"] != "combine" and not column:
             continue
-        options = {k: _option(v) for k, v in list((r.get("options") or {}).items())[:30] if isinstance(k, str) and len(k) <= 60 and not isinstance(v, dict)} if isinstance(r.get("options"), dict) else {}
+        given = r.get("options") if isinstance(r.get("options"), dict) else {}
+        options = {bounded(k, MAX_TEXT, "an option's name"): _option(v) for k, v in bounded(given, MAX_STEPS, "the options").items() if isinstance(k, str) and not isinstance(v, dict)}
         name = r.get("newColumnName")
-        new = name[:200] if r.get("destination") == "newColumn" and isinstance(name, str) and name.strip() else None
-        rows = tuple(n for n in r["rowIndices"] if isinstance(n, int) and not isinstance(n, bool))[:100_000] if isinstance(r.get("rowIndices"), list) else None
+        new = bounded(name, MAX_TEXT, "a column name") if r.get("destination") == "newColumn" and isinstance(name, str) and name.strip() else None
+        rows = tuple(n for n in bounded(r["rowIndices"], MAX_ROWS, "the list of rows") if isinstance(n, int) and not isinstance(n, bool)) if isinstance(r.get("rowIndices"), list) else None
         out.append(TransformStep(r["type"], None if r["type"] == "combine" else column, options, r.get("enabled") is not False, new, rows))
     return out
+
+
+def or_raw(df: DataFrame, steps: list[TransformStep], context: dict | None = None) -> tuple[DataFrame, str | None]:
+    """(the cleaned frame, None), or (the frame as it was, what is wrong) if a step cannot be applied."""
+    try:
+        return apply_transforms(df, steps, context), None
+    except StepError as e:
+        return df, str(e)
+
+
+def reset(steps: list[TransformStep]) -> list[TransformStep]:
+    """No steps: the source is shown as it is."""
+    return []

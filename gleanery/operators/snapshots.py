@@ -25,13 +25,33 @@ def listed(spark: SparkSession, path: str, group: str | None = None) -> DataFram
     return df.groupBy("group_key", "snapshot_id").agg(F.first("created_at").alias("created_at"), F.count(F.lit(1)).alias("row_count")).orderBy(F.desc("created_at"), F.desc("snapshot_id"))
 
 
-def latest(spark: SparkSession, path: str, group: str) -> DataFrame:
-    """The rows of the newest snapshot of a group."""
+def latest(spark: SparkSession, path: str, group: str, before: int | None = None) -> DataFrame:
+    """The rows of the newest snapshot of a group, or of the newest made before `before`: what a run is compared with."""
     df = spark.read.parquet(path).filter(F.col("group_key") == group)
+    df = df if before is None else df.filter(F.col("created_at") < before)
     newest = df.agg(F.max(F.struct("created_at", "snapshot_id")).alias("s")).select("s.snapshot_id")
     return df.join(F.broadcast(newest), "snapshot_id", "left_semi")
 
 
+def delete(spark: SparkSession, path: str, group: str, snapshot_id: str) -> bool:
+    """Removes one snapshot, which is a folder of its own; False if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/group_key={_partition(spark, group)}/snapshot_id={_partition(spark, snapshot_id)}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _partition(spark: SparkSession, value: str) -> str:
+    """A partition value as its folder spells it."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def retain(spark: SparkSession, path: str, group: str, keep: int = KEEP_SNAPSHOTS) -> list[str]:
+    """Deletes all but the newest snapshots of a group; their ids. A group has few of them, so the list is read on the driver."""
+    old = [r["snapshot_id"] for r in listed(spark, path, group).collect()[keep:]]
+    for snapshot_id in old:
+        delete(spark, path, group, snapshot_id)
+    return old
+
+
 def retained(snapshots: DataFrame, keep: int = KEEP_SNAPSHOTS) -> DataFrame:
     """Of a list of snapshots, the newest of each group."""
     return keep_newest(snapshots, ["group_key"], "created_at", keep, "snapshot_id")

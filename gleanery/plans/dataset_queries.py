@@ -152,7 +152,7 @@ def rolling_hash(spark, sf_dir):
 
 @query("run_ledger", "SELECT CAST(user_id AS VARCHAR) AS run_id, min(event_id) AS at FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
 def run_ledger(spark, sf_dir):
-    return accumulate.ledger(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("at")))
+    return accumulate.ledger(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("at")), 200)
 
 
 @query("url_page_sequence", "SELECT CAST(range + 1 AS BIGINT) AS page_no, CAST(5 + range * 20 AS BIGINT) AS value FROM range(10)")

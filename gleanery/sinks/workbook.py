@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.numeric import safe_numeric
 from gleanery.functions.text import text
 
 _NUMBER = re.compile(r"-?(0|[1-9]\d*)(\.\d+)?")
@@ -35,6 +36,29 @@ def letters(i: int) -> str:
     return out
 
 
+def letters_of(i: Column) -> Column:
+    """The letters of a 0-based column number of up to three letters."""
+    at = lambda n: F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (n + 1).cast("int"), F.lit(1))
+    one, two = i % 26, F.floor(i / 26) - 1
+    return F.concat(F.when(i >= 702, at(F.floor(two / 26) - 1)).otherwise(""), F.when(i >= 26, at(two % 26)).otherwise(""), at(one))
+
+
+def xlsx_cells(df: DataFrame, order: str, typed: bool = False) -> DataFrame:
+    """row, column (0-based), xml of each cell of a sheet whose first row is the header; `order` is the 0-based place of a row."""
+    columns = [c for c in df.columns if c != order]
+    long = df.select((F.col(order) + 2).cast("long").alias("row"), F.posexplode(F.array(*(text(f"`{c}`") for c in columns))).alias("column", "value"))
+    head = df.sparkSession.createDataFrame([(1, i, c) for i, c in enumerate(columns)], "row long, column int, value string")
+    cells = long.unionByName(head)
+    ref = F.concat(letters_of(F.col("column")), F.col("row").cast("string"))
+    shown = F.regexp_replace("value", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", "")
+    for c, as_ in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        shown = F.replace(shown, F.lit(c), F.lit(as_))
+    inline = F.concat(F.lit('<c r="'), ref, F.lit('" t="inlineStr"><is><t xml:space="preserve">'), shown, F.lit("</t></is></c>"))
+    if typed:
+        inline = F.when((F.col("row") > 1) & safe_numeric("value"), F.concat(F.lit('<c r="'), ref, F.lit('"><v>'), F.col("value"), F.lit("</v></c>"))).otherwise(inline)
+    return cells.select("row", "column", inline.alias("xml"))
+
+
 def cell(ref: str, value: str, typed: bool) -> str:
     if typed and _NUMBER.fullmatch(value) and len(re.sub(r"\D", "", value)) <= 15:
         return f'<c r="{ref}"><v>{value}</v></c>'
@@ -78,4 +102,5 @@ def archive(files: dict[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
+# Part names and namespaces above are the file format; where an export can go.
 DESTINATIONS = {"download": True, "clipboard": True, "google-sheets": False}  # whether it can be used

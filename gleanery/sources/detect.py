@@ -8,15 +8,32 @@ from __future__ import annotations
 
 import re
 import statistics
+from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, islice
+from operator import add
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls
 from gleanery.sources import dom
 
-MAX_ELEMENTS, MAX_CANDIDATES, MAX_FIELDS, SAMPLE, SIGNAL_SAMPLE = 6000, 8, 10, 30, 12
+
+@dataclass(frozen=True)
+class Budget:
+    """How much of a page an interactive caller wants looked at. By default there is no bound."""
+
+    elements: int | None = None
+    structures: int | None = None
+    fields: int | None = None
+    rows: int | None = None
+    signal_rows: int | None = None
+
+
+ALL = Budget()
+INTERACTIVE = Budget(6000, 8, 10, 30, 12)  # fixed values
 
 # Names of regions, shapes of fields and labels of controls.
 NAV_NAMES = re.compile(r"\b(nav|menu|sidebar|breadcrumb|pagination|pager|footer|header|social|share|cookie|banner|advert|promo|sponsor)\b", re.I)
@@ -42,34 +59,47 @@ TEMPLATES = {
 }
 
 
+# What marks a class or an id as made by a tool.
+MADE_CLASS = tuple(re.compile(p) for p in (r"(?i)(css|sc|jsx|styled|emotion|chakra|MuiBox|ng-)", r"(?i).*--[a-z0-9]{5,}$", r"(?i)[a-z]{1,3}-[0-9a-f]{5,}$", r"(?i)[a-f0-9]{6,}$"))
+MADE_ID = tuple(re.compile(p) for p in (r"(?i)(ember|react|radix|mui|vue|headlessui|:r)", r":.*:$"))
+LEAST_CLASS, DIGIT_SHARE_CLASS, LEAST_DIGIT_CLASS, LEAST_VOWELLESS = 2, 0.25, 6, 5
+DIGIT_SHARE_ID, LEAST_DIGIT_ID = 0.4, 8
+# What the signals of a candidate are worth, as (signal, points for its whole share) and (test, points).
+SHARES = (("links", 15), ("images", 8), ("prices", 15), ("titles", 7), ("consistency", 7))
+BONUSES = (
+    ("main", 10), ("nav = 'semantic'", -30), ("nav = 'keyword'", -12), ("avg_text < 3 and images < 0.3", -15),
+    ("links < 0.15 and images < 0.15 and consistency > 0.55 and item_count <= 40", -35),
+    ("links >= 0.8 and images >= 0.8 and prices >= 0.8 and item_count >= 10", 20),
+)
+COUNT_POINTS, MOST_COUNT, TEXT_PER_POINT, MOST_TEXT, DIVERSITY, LEAST_LINKS = 6, 25, 10, 20, 8, 0.4
+
+
+def digit_share(s: str) -> float:
+    return sum(x.isdigit() for x in s) / len(s)
+
+
 def dynamic_class(c: str) -> bool:
     """Whether a class looks made by a tool: prefixes, hashes, many digits, no vowel."""
-    if len(c) < 2 or re.match(r"(?i)(css|sc|jsx|styled|emotion|chakra|MuiBox|ng-)", c):
-        return True
-    if re.search(r"(?i)--[a-z0-9]{5,}$", c) or re.fullmatch(r"(?i)[a-z]{1,3}-[0-9a-f]{5,}", c) or re.fullmatch(r"(?i)[a-f0-9]{6,}", c):
+    if len(c) < LEAST_CLASS or any(p.match(c) for p in MADE_CLASS):
         return True
-    if re.fullmatch(r"[A-Za-z0-9_-]{6,}", c) and sum(x.isdigit() for x in c) / len(c) > 0.25:
+    if len(c) >= LEAST_DIGIT_CLASS and re.fullmatch(r"[A-Za-z0-9_-]+", c) and digit_share(c) > DIGIT_SHARE_CLASS:
         return True
-    return bool(re.fullmatch(r"[a-z]{5,}", c)) and not re.search("[aeiouy]", c)
+    return len(c) >= LEAST_VOWELLESS and c.isascii() and c.isalpha() and c.islower() and not set(c) & set("aeiouy")
 
 
 def dynamic_id(i: str) -> bool:
-    if not i or re.match(r"(?i)(ember|react|radix|mui|vue|headlessui|:r)", i) or re.fullmatch(r":.*:", i):
-        return True
-    return len(i) >= 8 and sum(x.isdigit() for x in i) / len(i) > 0.4
+    return not i or any(p.match(i) for p in MADE_ID) or len(i) >= LEAST_DIGIT_ID and digit_share(i) > DIGIT_SHARE_ID
 
 
 def stable_classes(n: dom.Node) -> list[str]:
     return [c for c in n.classes() if not dynamic_class(c)]
 
 
-def groups(root: dom.Node) -> list[list[dom.Node]]:
+def groups(root: dom.Node, elements: int | None = None) -> list[list[dom.Node]]:
     """Children of one parent alike in element and one stable class (or in having none), two at least."""
     out = []
     body = dom.body(root)
-    for k, n in enumerate([body, *body.walk()]):
-        if k >= MAX_ELEMENTS:
-            break
+    for n in islice(chain([body], body.walk()), elements):
         alike: dict[tuple, list[dom.Node]] = {}
         for c in n.elements():
             for name in stable_classes(c) or [""]:
@@ -89,8 +119,8 @@ def region(n: dom.Node) -> tuple[str, bool]:
 SIGNALS = "item_count int, avg_text double, links double, images double, prices double, titles double, diversity double, consistency double, nav string, main boolean"
 
 
-def signals(group: list[dom.Node]) -> tuple:
-    some = group[:SIGNAL_SAMPLE]
+def signals(group: list[dom.Node], rows: int | None = None) -> tuple:
+    some = group[:rows]
     texts = [n.clean_text() for n in some]
     share = lambda test: sum(map(bool, test)) / len(some)
     anchors = [dom.first(n, "a[href]") for n in some]
@@ -102,17 +132,11 @@ def signals(group: list[dom.Node]) -> tuple:
 
 
 def score() -> Column:
-    """0 to 100 of a candidate, from its signals."""
-    c = F.col
-    n = c("item_count")
-    when = lambda test, points: F.when(test, F.lit(float(points))).otherwise(0.0)
-    total = F.least(F.lit(25.0), F.log2(n + 1) * 6) + F.least(F.lit(20.0), c("avg_text") / 10)
-    total = total + c("links") * 15 + c("images") * 8 + c("prices") * 15 + c("titles") * 7 + c("consistency") * 7
-    total = total + F.when(c("links") > 0.4, c("diversity") * 8).otherwise(0.0) + when(c("main"), 10)
-    total = total - when(c("nav") == "semantic", 30) - when(c("nav") == "keyword", 12)
-    total = total - when((c("avg_text") < 3) & (c("images") < 0.3), 15)
-    total = total - when((c("links") < 0.15) & (c("images") < 0.15) & (c("consistency") > 0.55) & (n <= 40), 35)
-    total = total + when((c("links") >= 0.8) & (c("images") >= 0.8) & (c("prices") >= 0.8) & (n >= 10), 20)
+    """0 to 100 of a candidate: points for its size and text, for shares of its items, and for tests that hold."""
+    total = F.least(F.lit(float(MOST_COUNT)), F.log2(F.col("item_count") + 1) * COUNT_POINTS) + F.least(F.lit(float(MOST_TEXT)), F.col("avg_text") / TEXT_PER_POINT)
+    total = total + F.when(F.col("links") > LEAST_LINKS, F.col("diversity") * DIVERSITY).otherwise(0.0)
+    total = reduce(add, (F.col(signal) * points for signal, points in SHARES), total)
+    total = reduce(add, (F.when(F.expr(test), float(points)).otherwise(0.0) for test, points in BONUSES), total)
     return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(total + 0.5))).cast("int")
 
 
@@ -201,13 +225,13 @@ def semantic_name(samples: list[str]) -> str | None:
     return None
 
 
-def fields(group: list[dom.Node]) -> list[tuple[str, str, str, float, float, list[str]]]:
-    """(name, selector, attribute, coverage, uniqueness, samples): best covered first, MAX_FIELDS at most.
+def fields(group: list[dom.Node], budget: Budget = ALL) -> list[tuple[str, str, str, float, float, list[str]]]:
+    """(name, selector, attribute, coverage, uniqueness, samples): best covered first.
 
     Candidates are the first instance's texts that no deeper element repeats, its links
     and pictures; of those with equal samples the first stays.
     """
-    head, some = group[0], group[:SAMPLE]
+    head, some = group[0], group[: budget.rows]
     wanted: list[tuple[dom.Node, str]] = []
     for n in [head, *head.walk()]:
         kids = n.elements()
@@ -218,7 +242,7 @@ def fields(group: list[dom.Node]) -> list[tuple[str, str, str, float, float, lis
         if n.tag not in ("script", "style") and n.clean_text() and not any(k.clean_text() for k in kids) and not any(x is not n and x.clean_text() == n.clean_text() for x, a in wanted if a == "text" and x in list(n.ancestors())):
             wanted.append((n, "text"))
     out, used, seen, texts = [], set(), set(), 0
-    for n, attribute in wanted[:150]:
+    for n, attribute in wanted:
         selector = ":scope" if n is head else relative_selector(head, n)
         if not selector:
             continue
@@ -237,7 +261,7 @@ def fields(group: list[dom.Node]) -> list[tuple[str, str, str, float, float, lis
         used.add(name)
         out.append((name, selector, attribute, len(filled) / len(some), len(set(filled)) / len(filled), filled[:8]))
     order = {"Title": 0, "Price": 1, "Link": 2, "Image": 3}
-    return sorted(out, key=lambda f: (order.get(f[0], 9), -f[3]))[:MAX_FIELDS]
+    return sorted(out, key=lambda f: (order.get(f[0], 9), -f[3]))[: budget.fields]
 
 
 def label(tag: str, found: list) -> str:
@@ -245,53 +269,53 @@ def label(tag: str, found: list) -> str:
     return {"tr": "Table Rows", "li": "List Items"}.get(tag) or ("Product Cards" if image and price else "Cards" if image else "Repeating Items")
 
 
-def page_candidates(html: str) -> list[tuple]:
+def page_candidates(html: str, budget: Budget = ALL) -> list[tuple]:
     """(no, label, selector, parents, signals..., fields) of every repeating group of a page."""
     root, out = dom.parse(html), []
-    for k, g in enumerate(groups(root)):
-        found = fields(g)
+    for k, g in enumerate(groups(root, budget.elements)):
+        found = fields(g, budget)
         table = g[0].tag != "tr" and any(a.tag == "table" for a in g[0].ancestors())
         if not found or table:
             continue
         lineage = [n.order for n in (g[0], *g[0].ancestors())]
-        out.append((k, label(g[0].tag, found), container_selector(g, root), lineage, *signals(g), [f[0] for f in found]))
+        out.append((k, label(g[0].tag, found), container_selector(g, root), lineage, *signals(g, budget.signal_rows), [f[0] for f in found]))
     return out
 
 
-def candidates(pages: DataFrame) -> DataFrame:
+def candidates(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
     """One row for each repeating group with its signals and score."""
     names = ["page_id", "candidate", "label", "selector", "lineage", *(s.split()[0] for s in SIGNALS.split(", ")), "fields"]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int32(), *[pa.float64()] * 7, pa.string(), pa.bool_(), pa.list_(pa.string())]
 
     def run(batches):
         for batch in batches:
-            rows = [(p, *c) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in page_candidates(h or "")]
+            rows = [(p, *c) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in page_candidates(h or "", budget)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     found = pages.select("page_id", "html").mapInArrow(run, f"page_id long, candidate int, label string, selector string, lineage array<long>, {SIGNALS}, fields array<string>")
     return found.withColumn("score", score())
 
 
-def structures(pages: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+def structures(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
     """The best structures of each page: page_id, rank, label, item_count, selector, score, confidence, fields.
 
     A candidate goes if a better one is the same element, or above or below it with nearly
     as many items; the judgement stays inside the page's own few candidates.
     """
-    listed = candidates(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "candidate", "label", "selector", "lineage", "item_count", "score", "fields"))).alias("all"))
+    listed = candidates(pages, budget).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "candidate", "label", "selector", "lineage", "item_count", "score", "fields"))).alias("all"))
     related = lambda a, b: F.array_contains(a["lineage"], F.get(b["lineage"], F.lit(0))) | F.array_contains(b["lineage"], F.get(a["lineage"], F.lit(0)))
     same = lambda a, b: F.get(a["lineage"], F.lit(0)) == F.get(b["lineage"], F.lit(0))
     close = lambda a, b: same(a, b) | (related(a, b) & (F.abs(a["item_count"] - b["item_count"]) <= 2))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
-    top = listed.select("page_id", F.posexplode(F.slice(kept, 1, most)).alias("rank", "s"))
+    top = listed.select("page_id", F.posexplode(kept if budget.structures is None else F.slice(kept, 1, budget.structures)).alias("rank", "s"))
     confidence = F.when(F.col("s.score") >= 70, "High").when(F.col("s.score") >= 40, "Medium").otherwise("Low")
     return top.select("page_id", (F.col("rank") + 1).alias("rank"), "s.label", "s.item_count", "s.selector", "s.score", confidence.alias("confidence"), "s.fields")
 
 
-def report(pages: DataFrame) -> DataFrame:
+def report(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
     """Every candidate with its signals, score and fate: kept, or why it was set aside."""
-    kept = structures(pages).select("page_id", F.col("selector").alias("_s"), F.col("item_count").alias("_n"), "rank").dropDuplicates(["page_id", "_s", "_n"])
-    found = candidates(pages)
+    kept = structures(pages, budget).select("page_id", F.col("selector").alias("_s"), F.col("item_count").alias("_n"), "rank").dropDuplicates(["page_id", "_s", "_n"])
+    found = candidates(pages, budget)
     met = found.join(kept, (kept["page_id"] == found["page_id"]) & (kept["_s"] == found["selector"]) & (kept["_n"] == found["item_count"]), "left").drop(kept["page_id"])
     fate = F.when((F.col("score") < 20), "score below 20").when(F.col("rank").isNull(), "overlaps a better candidate").otherwise("kept")
     return met.withColumn("fate", fate).drop("_s", "_n", "rank", "lineage")
@@ -357,7 +381,3 @@ def match_hints(hints: list[tuple[str, list[str], list[str]]], structured: dict[
             used.add(pick)
             out[name] = pick
     return out
-
-
-def newest(found: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "candidate"))).filter(F.col("_n") <= k).drop("_n")

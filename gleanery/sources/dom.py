@@ -1,6 +1,6 @@
 """A small document tree over the standard library's HTML tokenizer, with a CSS subset.
 
-Static markup only: no scripts run, nothing is measured, and shadow roots do not exist.
+Static markup only: no scripts run, nothing is measured, and of shadow roots only declared ones exist.
 """
 
 from __future__ import annotations
@@ -200,6 +200,21 @@ LAZY = ("data-src", "data-original", "data-lazy-src", "data-lazy", "data-image")
 _ICON = re.compile(r"\b(avatar|icon|logo|sprite|rating|star|badge|flag|spinner|loading|pixel|tracking|swatch|checkbox|radio-btn|arrow|chevron|caret)\b", re.I)
 
 
+def hop(scope: Node, selectors: list[str]) -> Node | None:
+    """The first element along a path of selectors, each but the first inside the open shadow root of the element before it.
+
+    Static markup states a shadow root as a template with shadowrootmode.
+    """
+    n: Node | None = scope
+    for k, selector in enumerate(selectors):
+        if k:
+            n = next((c for c in n.elements() if c.tag == "template" and c.attrs.get("shadowrootmode") == "open"), None)
+        n = first(n, selector) if n is not None else None
+        if n is None:
+            return None
+    return n
+
+
 def resolve(url: str, base: str) -> str:
     try:
         return urljoin(base, url) if url else ""

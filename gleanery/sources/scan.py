@@ -11,10 +11,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gleanery.functions import shapes
 from gleanery.sources import dom
-from gleanery.sources.structured import value_at
-
-_PRICE = re.compile(r"[$€£₺¥₹₩₪₫₴₦₱฿]|\b[A-Z]{2,3}\b")
+from gleanery.sources.structured import Page
 
 
 @dataclass(frozen=True)
@@ -22,7 +21,7 @@ class Field:
     """One column of a scan: a selector inside the container and what to read there."""
 
     name: str
-    selector: str | None = None
+    selector: str | tuple[str, ...] | None = None  # several lead through open shadow roots
     attribute: str = "text"
     attribute_name: str | None = None
     path: str | None = None
@@ -30,14 +29,12 @@ class Field:
 
 
 def price_like(n: dom.Node) -> bool:
+    """A small element whose text looks_like_price()."""
     t = n.clean_text()
-    return bool(re.search(r"\d", t)) and bool(_PRICE.search(t)) and not re.fullmatch(r"\(\s*[\d.,]+\+?\s*\)", t) and len(n.elements()) <= 3
+    return shapes.is_price(t) and len(n.elements()) <= 3
 
 
-def contaminated(t: str) -> bool:
-    if re.search(r"\d[\d.,]*\d\s?(?:[$€£₺¥₹]|(?:TL|USD|EUR|GBP|TRY|JPY|INR)\b)", t):
-        return True
-    return any(not re.fullmatch(r"\(\s*[12]\d{3}\s*\)", m[0]) for m in re.finditer(r"\(\s*[\d,]+(?:\.\d+)?\s*%?(?:\s+off)?\s*\)", t, re.I))
+contaminated = shapes.is_contaminated
 
 
 def narrowed(n: dom.Node, clean: str) -> str:
@@ -57,7 +54,7 @@ def scan_page(html: str, container: str | None, fields: list[Field], base: str =
     counts. Rows without any value but positions are left out; positions count all
     containers, so gaps stay.
     """
-    root = dom.parse(html)
+    root, page = dom.parse(html), Page(html, base)
     containers = dom.select(root, container) if container else [dom.body(root)]
     struck: dict[str, bool | None] = {}
     clean: dict[str, bool] = {}
@@ -69,10 +66,10 @@ def scan_page(html: str, container: str | None, fields: list[Field], base: str =
                 row[f.name] = str(k)
                 continue
             if f.attribute == "structured":
-                row[f.name] = value_at(html, f.path or "", base)
+                row[f.name] = page.value(f.path or "")
                 real = real or bool(row[f.name])
                 continue
-            n = c if not f.selector else dom.first(c, f.selector)
+            n = c if not f.selector else dom.first(c, f.selector) if isinstance(f.selector, str) else dom.hop(c, f.selector)
             value = dom.read(n, f.attribute, c, f.attribute_name, base)
             if f.attribute == "text":
                 if n is not None and value and f.name not in struck:
@@ -113,13 +110,14 @@ def scan(pages: DataFrame, container: str | None, fields: list[Field]) -> DataFr
 
 def detail_record(html: str, fields: list[Field], base: str = "") -> dict:
     """One record of a page; fields with `multiple` give every value that is not empty."""
-    root = dom.body(dom.parse(html))
+    page = Page(html, base)
+    root = dom.body(dom.parse(html)) if any(f.attribute not in ("position", "structured") for f in fields) else None
     out = {}
     for f in fields:
         if f.attribute == "position":
             out[f.name] = "1"
         elif f.attribute == "structured":
-            out[f.name] = value_at(html, f.path or "", base)
+            out[f.name] = page.value(f.path or "")
         elif f.multiple:
             out[f.name] = [v for n in dom.select(root, f.selector) if (v := dom.read(n, f.attribute, None, f.attribute_name, base))]
         else:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleanery.sources import dom
 
-MAX_DEPTH = 6
 # Schema.org types whose plain fields are offered, and the meta fields.
 FLAT_TYPES = {
     "Product": ("name", "description", "sku", "brand", "image", "offers.price", "offers.priceCurrency", "offers.availability", "aggregateRating.ratingValue", "aggregateRating.reviewCount"),
@@ -29,27 +29,30 @@ META = ("title", "description", "canonical", "og.title", "og.description", "og.i
 
 
 def entities(html: str) -> tuple[list[dict], int]:
-    """(entities in page order, blocks that are no JSON): lists and @graph are opened up to MAX_DEPTH."""
+    """(entities in page order, blocks that are no JSON): lists and @graph are opened up, however deep."""
     out: list[dict] = []
 
-    def open_up(v, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            return
-        if isinstance(v, list):
-            for x in v:
-                open_up(x, depth + 1)
-        elif isinstance(v, dict):
-            if isinstance(v.get("@graph"), list):
-                open_up(v["@graph"], depth + 1)
-                if not any(k != "@graph" and k != "@context" for k in v):
-                    return
-            out.append(v)
+    def open_up(block) -> None:
+        todo = [block]
+        while todo:
+            v = todo.pop()
+            if isinstance(v, list):
+                todo += reversed(v)
+            elif isinstance(v, dict):
+                graph = v.get("@graph")
+                if not isinstance(graph, list):
+                    out.append(v)
+                    continue
+                rest = {k: x for k, x in v.items() if k != "@graph"}
+                if any(k != "@context" for k in rest):
+                    todo.append({**rest, "@graph": tuple(graph)})  # comes after its graph, and is not opened again
+                todo.append(graph)
 
     bad = 0
     for m in re.finditer(r"<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script", html, re.I | re.S):
         try:
-            open_up(json.loads(m[1]), 0)
-        except ValueError:
+            open_up(json.loads(m[1]))
+        except (ValueError, RecursionError):
             bad += 1
     return out, bad
 
@@ -127,43 +130,59 @@ def address(entity: dict) -> str:
 DERIVED = {"breadcrumb": breadcrumb, "faq": faq, "address": address}
 
 
+class Page:
+    """The structured data of a page, read once whatever is asked of it."""
+
+    def __init__(self, html: str, base: str = ""):
+        self.html, self.base = html, base
+
+    @cached_property
+    def entities(self) -> list[dict]:
+        return entities(self.html)[0]
+
+    @cached_property
+    def meta(self) -> dict:
+        return meta(self.html, self.base)
+
+    def value(self, path: str) -> str:
+        """The value of meta.*, jsonLd.<i>.<path> or derived.<kind>.<i>; missing is ''."""
+        head, _, rest = path.partition(".")
+        if head == "meta":
+            return leaf(walk(self.meta, rest))
+        if head == "jsonLd":
+            i, _, inner = rest.partition(".")
+            entity = self.entities[int(i)] if i.isdigit() and int(i) < len(self.entities) else None
+            value = leaf(walk(entity, inner)) if entity is not None else ""
+            return dom.resolve(value, self.base) if re.search(r"(^|\.)(image|logo|url)(\[\d+\])*$", inner) else value
+        if head == "derived":
+            kind, _, i = rest.partition(".")
+            if kind in DERIVED and i.isdigit() and int(i) < len(self.entities):
+                return DERIVED[kind](self.entities[int(i)])
+        return ""
+
+
 def value_at(html: str, path: str, base: str = "") -> str:
-    """The value of meta.*, jsonLd.<i>.<path> or derived.<kind>.<i>; missing is ''."""
-    head, _, rest = path.partition(".")
-    if head == "meta":
-        return leaf(walk(meta(html, base), rest))
-    found, _ = entities(html)
-    if head == "jsonLd":
-        i, _, inner = rest.partition(".")
-        entity = found[int(i)] if i.isdigit() and int(i) < len(found) else None
-        value = leaf(walk(entity, inner)) if entity is not None else ""
-        return dom.resolve(value, base) if re.search(r"(^|\.)(image|logo|url)(\[\d+\])*$", inner) else value
-    if head == "derived":
-        kind, _, i = rest.partition(".")
-        if kind in DERIVED and i.isdigit() and int(i) < len(found):
-            return DERIVED[kind](found[int(i)])
-    return ""
+    return Page(html, base).value(path)
 
 
 def catalogue(html: str, base: str = "") -> list[tuple[str, str, str]]:
     """(path, label, sample) of every structured field the page has a value for, unique by path."""
     out: dict[str, tuple[str, str, str]] = {}
-    found, _ = entities(html)
-    for i, e in enumerate(found):
+    page = Page(html, base)
+    for i, e in enumerate(page.entities):
         kinds = e.get("@type") if isinstance(e.get("@type"), list) else [e.get("@type")]
         for kind in kinds:
             for p in FLAT_TYPES.get(str(kind), ()):
                 path = f"jsonLd.{i}.{p}"
-                if v := value_at(html, path, base):
+                if v := page.value(path):
                     out.setdefault(path, (path, f"{kind} {p}", v))
             for name, want in (("breadcrumb", "BreadcrumbList"), ("faq", "FAQPage")):
                 if kind == want and (v := DERIVED[name](e)):
                     out.setdefault(f"derived.{name}.{i}", (f"derived.{name}.{i}", want, v))
         if v := address(e):
             out.setdefault(f"derived.address.{i}", (f"derived.address.{i}", "Address", v))
-    values = meta(html, base)
     for p in META:
-        if v := leaf(walk(values, p)):
+        if v := leaf(walk(page.meta, p)):
             out.setdefault(f"meta.{p}", (f"meta.{p}", f"Meta {p}", v))
     return list(out.values())
 

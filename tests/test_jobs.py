@@ -13,8 +13,11 @@ from gleanery.sources.scan import Field
 def test_job_round_trip():
     job = Job("J", "li", (Field("t", "h3"), Field("a", "a", "attr", "data-x", None, True)), description="d")
     assert jobs.import_job(jobs.export_job(job)) == job
-    got = jobs.import_job(json.dumps({"name": "x" * 500, "columns": [{"name": "ok"}, {"name": "bad", "attribute": "eval"}, 3], "transforms": [{"type": "trim", "column": "ok"}, {"type": "evil", "column": "ok"}]}))
-    assert len(got.name) == 200 and [f.name for f in got.fields] == ["ok"] and [s.type for s in got.steps] == ["trim"]
+    got = jobs.import_job(json.dumps({"name": "x" * 200, "columns": [{"name": "ok"}, {"name": "bad", "attribute": "eval"}, 3], "transforms": [{"type": "trim", "column": "ok"}, {"type": "evil", "column": "ok"}]}))
+    assert [f.name for f in got.fields] == ["ok"] and [s.type for s in got.steps] == ["trim"]
+    for big in ({"name": "x" * 201, "columns": [{"name": "ok"}]}, {"name": "x", "columns": [{"name": "ok"}] * 101}, {"name": "x", "columns": [{"name": "ok"}], "transforms": [{"type": "trim", "column": "ok"}] * 51}):
+        with pytest.raises(ImportFailed):
+            jobs.import_job(json.dumps(big))
 
 
 @pytest.mark.parametrize("text", ["{", "[]", '{"columns": [{"name": "a"}]}', '{"name": "a"}', '{"name": "a", "schemaVersion": 2, "columns": [{"name": "a"}]}', '{"name": "a", "schemaVersion": "x", "columns": [{"name": "a"}]}'])

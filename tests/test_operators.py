@@ -50,12 +50,24 @@ def test_presets_edits_and_import(spark):
     steps = pipeline.preset("cleanText", "A")
     assert [s.type for s in pipeline.move(steps, 0, 2)] == ["collapseWhitespace", "removeInvisibleChars", "trim", "decodeHtmlEntities"]
     assert not pipeline.toggle(steps, 1)[1].enabled and len(pipeline.remove(steps, 0)) == 3 == len(pipeline.undo(steps))
-    raw = json.loads(json.dumps([{"type": "trim", "column": "A", "enabled": False}, {"type": "evil", "column": "A"}, {"type": "trim"}, 7, {"type": "split", "column": "A", "options": {"delimiter": "-" * 3000, "deep": {"x": 1}}, "destination": "newColumn", "newColumnName": "N", "rowIndices": [1, "x"]}]))
+    raw = json.loads(json.dumps([{"type": "trim", "column": "A", "enabled": False}, {"type": "evil", "column": "A"}, {"type": "trim"}, 7, {"type": "split", "column": "A", "options": {"delimiter": "-" * 300, "deep": {"a": 1}}, "destination": "newColumn", "newColumnName": "N", "rowIndices": [1, "x"]}]))
     got = pipeline.import_steps(raw)
-    assert [(s.type, s.enabled, s.new_column, s.row_indices) for s in got] == [("trim", False, None, None), ("split", True, "N", (1,))] and len(got[1].options["delimiter"]) == 2000 and "deep" not in got[1].options
+    assert [(s.type, s.enabled, s.new_column, s.row_indices) for s in got] == [("trim", False, None, None), ("split", True, "N", (1,))] and got[1].options == {"delimiter": "-" * 300}
+    for big in ([{"type": "trim", "column": "A"}] * 51, [{"type": "split", "column": "A", "options": {"delimiter": "-" * 3000}}], [{"type": "trim", "column": "A", "rowIndices": list(range(100_001))}], [{"type": "split", "column": "A", "options": {"x": [[[[["y"]]]]]}}]):
+        with pytest.raises(pipeline.StepError):
+            pipeline.import_steps(big)
+    assert pipeline.reset(steps) == []
     assert pipeline.import_steps({"x": 1}) == []
 
 
+def test_fallback_on_error(spark):
+    df = frame(spark, [(" a ",)], ["A"])
+    good, wrong = pipeline.or_raw(df, [TransformStep("trim", "A")])
+    assert table(good, "A") == [("a",)] and wrong is None
+    raw, wrong = pipeline.or_raw(df, [TransformStep("trim", "A"), TransformStep("trim", "none")])
+    assert table(raw, "A") == [(" a ",)] and "none" in wrong
+
+
 def test_row_scope_is_opt_in(spark):
     df, step = frame(spark, [("a",), ("b",)], ["A"]), TransformStep("changeCase", "A", {"mode": "upper"}, row_indices=(1,))
     assert table(pipeline.apply_step(df, step), "A") == [("A",), ("B",)]
