@@ -114,3 +114,8 @@ def filter_changes(rows: DataFrame, category: str) -> DataFrame:
     """all, new, removed, changed (any field), or price moves only, of change_rows()."""
     kinds = {"new": ["NEW"], "removed": ["REMOVED"], "changed": ["CHANGED", "PRICE DROPPED", "PRICE INCREASED"], "price": ["PRICE DROPPED", "PRICE INCREASED"]}
     return rows if category == "all" else rows.filter(col("change_type").isin(kinds[category]))
+
+
+def shown(rows: DataFrame, order: str, most: int = 300) -> DataFrame:
+    """The part of a change list that a screen shows; exports have all of it."""
+    return rows.orderBy(order).limit(most)

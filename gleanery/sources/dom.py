@@ -201,7 +201,7 @@ _ICON = re.compile(r"\b(avatar|icon|logo|sprite|rating|star|badge|flag|spinner|l
 
 
 def hop(scope: Node, selectors: list[str]) -> Node | None:
-    """The first element along a path of selectors, each but the first inside the open shadow root of the element before it.
+    """The first element along a path of selectors (`:scope` is the start itself), each but the first inside the open shadow root of the element before it.
 
     Static markup states a shadow root as a template with shadowrootmode.
     """
@@ -209,7 +209,7 @@ def hop(scope: Node, selectors: list[str]) -> Node | None:
     for k, selector in enumerate(selectors):
         if k:
             n = next((c for c in n.elements() if c.tag == "template" and c.attrs.get("shadowrootmode") == "open"), None)
-        n = first(n, selector) if n is not None else None
+        n = (n if selector == ":scope" else first(n, selector)) if n is not None else None
         if n is None:
             return None
     return n
