@@ -151,11 +151,11 @@ def normalize_date(spark, sf_dir):
     return rows.select("o_orderkey", cleaning.apply("normalizeDate", "v", {"outputFormat": "iso"}).alias("out"))
 
 
-@query("normalize_date_hint", f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 3 THEN concat({_YEAR}, '-', {_MONTH}, '-', {_DAY28}) ELSE 'other' END AS out FROM orders")
+@query("normalize_date_hint", f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat({_YEAR}, '-', {_MONTH}, '-', {_DAY31}) WHEN 1 THEN concat({_YEAR}, '-03-', {_DAY28}) WHEN 2 THEN concat({_YEAR}, '-09-', {_DAY28})
+ WHEN 3 THEN concat({_YEAR}, '-', {_MONTH}, '-', {_DAY28}) ELSE 'soon' END AS out FROM orders""")
 def normalize_date_hint(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DATE.replace("VARCHAR", "STRING")).alias("v"))
-    out = cleaning.apply("normalizeDate", "v", {"dayMonthOrder": "dayFirst"})
-    return rows.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 3, out).otherwise("other").alias("out"))
+    return rows.select("o_orderkey", cleaning.apply("normalizeDate", "v", {"dayMonthOrder": "dayFirst"}).alias("out"))
 
 
 @query("normalize_boolean", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'no' ELSE '' END AS out FROM orders")
@@ -191,9 +191,13 @@ def unicode_nfc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cleaning.apply("normalizeUnicode", "text").alias("out"))
 
 
-@query("decode_entities", "SELECT doc_id, concat('<a> & \"', chr(233), '€ &unknown; &lt;', left(replace(text, '&', ''), 100)) AS out FROM documents")
+_ONCE = r"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN concat('<a> & "', chr(233), '€ &unknown; &lt; ', regexp_replace(text, ' the ', ' ' || chr(169) || ' &amp ', 'g')) END AS out FROM documents"""
+
+
+@query("decode_entities", _ONCE)
 def decode_entities(spark, sf_dir):
-    v = F.concat(F.lit("&lt;a&gt; &amp; &quot;&#233;&euro; &unknown; &amp;lt;"), F.substring(F.replace("text", F.lit("&")), 1, 100))
+    """Whole texts with references before and throughout them: each is decoded once, unfinished and unknown ones stay."""
+    v = F.concat(F.lit("&lt;a&gt; &amp; &quot;&#233;&euro; &unknown; &amp;lt; "), F.regexp_replace("text", " the ", " &copy; &amp;amp "))
     return table(spark, sf_dir, "documents").select("doc_id", cleaning.apply("decodeHtmlEntities", v).alias("out"))
 
 

@@ -82,15 +82,15 @@ def safe_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", urls.safe_file_name(F.concat(F.lit(" <"), "p_name", F.lit('>:  "'), "p_brand", F.lit("..."))).alias("name"))
 
 
-@query("csv_lines", "SELECT concat(CAST(n_nationkey AS VARCHAR), ',', chr(34), n_name, ', ', chr(34), chr(34), 'x', chr(34), chr(34), chr(34), ',', chr(39), '=', CAST(n_regionkey AS VARCHAR)) AS line FROM nation")
+@query("csv_lines", "SELECT concat(CAST(p_partkey AS VARCHAR), ',', chr(34), p_name, ', ', chr(34), chr(34), 'x', chr(34), chr(34), chr(34), ',', chr(39), '=', CAST(p_size AS VARCHAR)) AS line FROM part")
 def csv_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.concat("n_name", F.lit(', "x"')).alias("name"), F.concat(F.lit("="), F.col("n_regionkey").cast("string")).alias("f"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.concat("p_name", F.lit(', "x"')).alias("name"), F.concat(F.lit("="), F.col("p_size").cast("string")).alias("f"))
     return rows.select(lines.csv_line(rows.columns).alias("line"))
 
 
-@query("tsv_lines", "SELECT concat(CAST(n_nationkey AS VARCHAR), chr(9), n_name, ' x') AS line FROM nation")
+@query("tsv_lines", "SELECT concat(CAST(p_partkey AS VARCHAR), chr(9), p_name, ' x') AS line FROM part")
 def tsv_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.concat("n_name", F.lit("\t\r\nx")).alias("name"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.concat("p_name", F.lit("\t\r\nx")).alias("name"))
     return rows.select(lines.tsv_line(rows.columns).alias("line"))
 
 
@@ -138,11 +138,11 @@ def run_stop_rule(spark, sf_dir):
     return accumulate.stop_rule(_passes(spark, sf_dir), "page", accumulate.Limits(max_rows=400, max_passes=50)).select("page", "total", "stop")
 
 
-@query("page_signatures", "SELECT n_regionkey, concat('u', CAST(n_regionkey AS VARCHAR), '::') AS head FROM (SELECT DISTINCT n_regionkey FROM nation)")
+@query("page_signatures", "SELECT o_custkey, concat('u', CAST(o_custkey AS VARCHAR), '::') AS head, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(string_agg(CAST(o_orderkey AS VARCHAR), '~' ORDER BY o_orderkey), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, k: (h * 31 + k) % 4294967296) AS BIGINT) AS hash FROM orders GROUP BY o_custkey")
 def page_signatures(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    sign = accumulate.page_signature(F.concat(F.lit("u"), F.col("n_regionkey").cast("string")), F.col("names"))
-    return rows.select("n_regionkey", F.regexp_extract(sign, "^(.*::)[0-9a-z]+$", 1).alias("head"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")).alias("keys"))
+    sign = accumulate.page_signature(F.concat(F.lit("u"), F.col("o_custkey").cast("string")), F.col("keys"))
+    return rows.select("o_custkey", F.regexp_extract(sign, "^(.*::)[0-9a-z]+$", 1).alias("head"), F.conv(F.substring_index(sign, "::", -1), 36, 10).cast("long").alias("hash"))
 
 
 @query("rolling_hash", "SELECT n_nationkey, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, k: (h * 31 + k) % 4294967296) AS BIGINT) AS h FROM nation")
@@ -160,7 +160,7 @@ def url_page_sequence(spark, sf_dir):
     return accumulate.url_pages(spark, 5, 20, 10)
 
 
-@query("stream_accumulate", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_accumulate", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def stream(spark, sf_dir):
     """The same accumulation as a stream over the table's files, run until all input is read."""
     import uuid
@@ -171,4 +171,4 @@ def stream(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     accumulate.stream_accumulate(source, ["user_id", "event_type"], f"{root}/sink", f"{root}/checkpoint", "event_id").awaitTermination()
-    return spark.read.parquet(f"{root}/sink").select("user_id", "event_type")
+    return spark.read.parquet(f"{root}/sink").select("user_id", "event_type", "event_id")

@@ -157,20 +157,15 @@ def _card_pages(orders):
     return ordered.groupBy(F.col("o_custkey").alias("page_id")).agg(F.expr(_CARDS).alias("html")).withColumn("url", F.lit("https://shop.example/list"))
 
 
-def _stated(spark, sf_dir):
-    """The orders that the SQL of container_scan and table_scan names."""
-    return table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
-
-
-@query("container_scan", "SELECT o_custkey AS page_id, concat('Order ', CAST(o_orderkey AS VARCHAR)) AS title, concat('$', CAST(o_orderkey % 900 + 100 AS VARCHAR), '.50') AS price, concat('https://shop.example/o/', CAST(o_orderkey AS VARCHAR)) AS link FROM orders WHERE o_orderkey < 2000")
+@query("container_scan", "SELECT o_custkey AS page_id, concat('Order ', CAST(o_orderkey AS VARCHAR)) AS title, concat('$', CAST(o_orderkey % 900 + 100 AS VARCHAR), '.50') AS price, concat('https://shop.example/o/', CAST(o_orderkey AS VARCHAR)) AS link FROM orders")
 def container_scan(spark, sf_dir):
-    rows = scan.scan(_card_pages(_stated(spark, sf_dir)), "li.card", [Field("title", "h3"), Field("price", ".price"), Field("link", "a", "href")])
+    rows = scan.scan(_card_pages(table(spark, sf_dir, "orders")), "li.card", [Field("title", "h3"), Field("price", ".price"), Field("link", "a", "href")])
     return rows.select("page_id", "title", "price", "link")
 
 
-@query("table_scan", "SELECT o_custkey AS page_id, o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderkey < 2000 QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2")
+@query("table_scan", "SELECT o_custkey AS page_id, o_orderkey AS key, o_orderstatus AS status FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2")
 def table_scan(spark, sf_dir):
-    cells = scan.scan_tables(_card_pages(_stated(spark, sf_dir))).groupBy("page_id", "row_no").agg(F.max(F.when(F.col("name") == "Key", F.col("value"))).cast("long").alias("key"), F.max(F.when(F.col("name") == "Status", F.col("value"))).alias("status"))
+    cells = scan.scan_tables(_card_pages(table(spark, sf_dir, "orders"))).groupBy("page_id", "row_no").agg(F.max(F.when(F.col("name") == "Key", F.col("value"))).cast("long").alias("key"), F.max(F.when(F.col("name") == "Status", F.col("value"))).alias("status"))
     return cells.drop("row_no")
 
 

@@ -68,12 +68,14 @@ def sort_numeric(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*relational.sort_keys("price", True, True))).cast("long")).drop(POS)
 
 
-@query("sort_text_topk", "SELECT n_name, row_number() OVER (ORDER BY CAST(split_part(n_name, '_', 2) AS INTEGER)) AS rank FROM nation QUALIFY rank <= 10")
+@query("sort_text_topk", "SELECT p_partkey, concat(p_brand, ' ', CAST(p_size AS VARCHAR)) AS label, row_number() OVER (ORDER BY CAST(split_part(p_brand, '#', 2) AS INTEGER), p_size, p_partkey) AS rank FROM part QUALIFY rank <= 200")
 def sort_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("long").alias(POS))
+    """Natural order: digits by value, letters without case."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.expr("if(p_partkey % 2 = 0, p_brand, upper(p_brand))"), F.lit(" "), F.col("p_size").cast("string")).alias("label"), F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("shown"), F.col("p_partkey").cast("long").alias(POS))
     from pyspark.sql import Window
 
-    return relational.apply_sort(rows, "n_name", numeric=False).limit(10).withColumn("rank", F.row_number().over(Window.orderBy(*relational.sort_keys("n_name", False, False))).cast("long")).select("n_name", "rank")
+    top = relational.apply_sort(rows, "label", numeric=False).limit(200)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*relational.sort_keys("label", False, False))).cast("long")).select("p_partkey", F.col("shown").alias("label"), "rank")
 
 
 @query("numeric_column_share", f"WITH src AS ({_PARTS}), {number_sql('src', 'price', 'p_partkey, price')} SELECT avg(CASE WHEN coalesce(price, '') <> '' THEN CASE WHEN num IS NOT NULL THEN 1.0 ELSE 0.0 END END) AS share FROM numbers")
