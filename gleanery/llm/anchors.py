@@ -64,7 +64,7 @@ def word_hashes(texts: list[bytes]):
 def keyed(documents: DataFrame) -> DataFrame:
     """id (null ids come last), version (tells rows of one id with different texts apart), text."""
     documents = tk.exact(documents, "doc_id", "text")
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.hash("text").alias("version"), "text")
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
 
 
 def anchor_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -80,7 +80,7 @@ def anchor_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             a, s, first, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.repeat(ids, count)), pa.array(np.repeat(versions, count)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names)
 
-    return tk.small_batches(rows).mapInArrow(run, "anchor long, segment long, id long, version int, first int, windows int, at int")
+    return tk.small_batches(rows).mapInArrow(run, "anchor long, segment long, id long, version long, first int, windows int, at int")
 
 
 def in_several(found: DataFrame) -> DataFrame:

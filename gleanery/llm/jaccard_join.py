@@ -292,31 +292,31 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """id, version, n, group, component (its smallest id) of (id, text, version) rows; both are null for a row without words."""
     spark = rows.sparkSession
 
+    limit = boundary(percent)
+    mixed = -(-percent * (limit + 1) // 100)
+    sent = spark.sparkContext.broadcast(learn_order(rows, max(rows.count(), 1), shingle))
+
     def name(batches):
         for batch in batches:
-            sets = Sets(tk.as_bytes(batch.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.nodes()), pa.array(sets.bitmaps())], ["id", "version", "n", "node", "bitmap"])
-
-    named = tk.written(tk.small_batches(rows.select("id", "text", F.col("version").cast("long").alias("version"))).mapInArrow(name, "id long, version long, n long, node long, bitmap binary"))
+            sets = Sets(tk.as_bytes(batch.column(1)), shingle, sent.value)
+            at, want = sets.rarest(percent, mixed)
+            light = [sets.subsets(i, percent) if 0 < n <= limit else [] for i, n in enumerate(sets.sizes.tolist())]
+            token = np.array([h + s & (1 << 64) - 1 for x in light for h, s in x], np.uint64)
+            ends = [pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)) for n in (want, [len(x) for x in light])]
+            heavy = pa.ListArray.from_arrays(ends[0], pa.array(sets.tokens[at].view(np.int64)))
+            small = pa.ListArray.from_arrays(ends[1], pa.StructArray.from_arrays([pa.array(tk.mix64(token).view(np.int64)), pa.array([s for x in light for _, s in x], pa.int16())], ["token", "size"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.nodes()), pa.array(sets.bitmaps()), heavy, small], ["id", "version", "n", "node", "bitmap", "heavy", "light"])
+
+    # each text is hashed once; its names and entries are written, as they are read several times
+    schema = "id long, version long, n long, node long, bitmap binary, heavy array<long>, light array<struct<token:long,size:smallint>>"
+    named = tk.written(tk.small_batches(rows.select("id", "text", F.col("version").cast("long").alias("version"))).mapInArrow(name, schema))
     rows = rows.select("id", "text")
     nodes = tk.written(named.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
 
-    limit = boundary(percent)
-    mixed = -(-percent * (limit + 1) // 100)
-    sent = spark.sparkContext.broadcast(learn_order(rows, max(named.count(), 1), shingle))
-
-    def enter(ids, texts):
-        sets = Sets(texts, shingle, sent.value)
-        node = sets.nodes()
-        at, want = sets.rarest(percent, mixed)
-        light = [(h, s, i) for i in np.flatnonzero((sets.sizes > 0) & (sets.sizes <= limit)).tolist() for h, s in sets.subsets(i, percent)]
-        h, s, i = np.array([x[0] for x in light], np.uint64), np.array([x[1] for x in light], np.int64), np.array([x[2] for x in light], np.int64)
-        token = np.concatenate([sets.tokens[at], tk.mix64(h + s.astype(np.uint64))]).view(np.int64)
-        return token, np.concatenate([node[np.repeat(np.arange(sets.count), want)], node[i]]), np.concatenate([np.zeros(len(at), np.int16), s.astype(np.int16)])
-
-    entered = mapped(rows, enter, "token long, node long, size short")
+    entered = named.select(F.explode("heavy").alias("token"), "node", F.lit(0).cast("short").alias("size")).unionByName(named.select("node", F.inline("light")))
     shared = tk.written(entered.groupBy("token", "size").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("token", "size"))
     entered = tk.written(entered.join(shared.hint("merge"), ["token", "size"]).distinct())
+    tk.discard(shared)
 
     light = entered.filter("size > 0").join(nodes.select("node", "n").hint("merge"), "node")
     least = tk.written(light.groupBy("token", "size").agg(F.min(F.struct("n", "node")).alias("_c")))
@@ -351,8 +351,8 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     rest = list_pairs(lists(labels), percent, False).join(tree.hint("merge"), ["a", "b"], "left_anti")
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(rest, texts, shingle, percent))
 
-    ids = nodes.select("node", "first").join(components(links).hint("merge"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
-    names = ids.groupBy("group").agg(F.min("first").alias("component"))
+    ids = tk.written(nodes.select("node", "first").join(components(links).hint("merge"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")))
+    names = tk.written(ids.groupBy("group").agg(F.min("first").alias("component")))  # written, so that the join can split a large group
     classes = ids.join(names.hint("merge"), "group").select("node", "group", "component")
     known = named.select("id", "version", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes.hint("merge"), "node", "left")
     return known.select("id", "version", "n", "group", "component")

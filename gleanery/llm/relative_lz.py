@@ -76,7 +76,7 @@ def answers(rows: DataFrame, shared: DataFrame, firsts: DataFrame, contested: Da
             a, w, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(np.repeat(ids.to_numpy(), rows)), pa.array(np.repeat(versions.to_numpy(), rows)), pa.array(at)], ["anchor", "hash", "id", "version", "at"])
 
-    single = texts.mapInArrow(windows, "anchor long, hash long, id long, version int, at int")
+    single = texts.mapInArrow(windows, "anchor long, hash long, id long, version long, at int")
     where = single.groupBy("anchor", "hash").agg(F.min(F.struct("id", "at")).alias("_r"), F.max("id").alias("_most")).filter("_r.id < _most").select("anchor", "hash", F.col("_r.id").alias("doc"), F.col("_r.at").alias("place"))
     single = single.join(where.hint("merge"), ["anchor", "hash"]).filter("doc < id").select("id", "version", F.col("at").alias("first"), F.lit(1).alias("windows"), "doc", "place")
     return whole.unionByName(single)

@@ -24,7 +24,7 @@ from gleanery.llm import textkit as tk
 from gleanery.llm.anchors import GRAM, LAST_ID, WINDOW
 from gleanery.llm.relative_lz import answers, lists
 
-ENTRY = "key binary, left binary, id long, version int, at int"
+ENTRY = "key binary, left binary, id long, version long, at int"
 
 
 def context(h: np.ndarray, at: np.ndarray, anchor: np.ndarray, size: int, gram: int) -> tuple[list[bytes], list[bytes]]:
@@ -93,9 +93,9 @@ def neighbour_matches(entries: DataFrame, window: int, gram: int) -> DataFrame:
             pair = np.flatnonzero((bucket[1:] == bucket[:-1]) & ~guest[:-1] & (head[1:] == head[:-1]) & (ids[1:] != ids[:-1]) & (l + r + gram >= window))
             copy = np.where(ids[pair] > ids[pair + 1], pair, pair + 1)
             other = 2 * pair + 1 - copy
-            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(versions[copy].astype(np.int32)), pa.array(at[copy] - l[pair]), pa.array(l[pair] + r[pair] + gram), pa.array(ids[other]), pa.array(at[other] - l[pair])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(versions[copy]), pa.array(at[copy] - l[pair]), pa.array(l[pair] + r[pair] + gram), pa.array(ids[other]), pa.array(at[other] - l[pair])], names)
 
-    return sorted_entries(entries).mapInArrow(run, "id long, version int, start long, length long, other long, place long")
+    return sorted_entries(entries).mapInArrow(run, "id long, version long, start long, length long, other long, place long")
 
 
 def join_overlaps(start: np.ndarray, length: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:

@@ -173,7 +173,11 @@ def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: in
 
 
 def drop_toxic(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = 0.5, bits: int = BITS) -> DataFrame:
-    """The rows that score below the threshold, all columns as they are."""
+    """The rows that score below the threshold, all columns as they are.
+
+    Row by row without shuffle. Null and empty texts get the score of the intercept alone,
+    repeated rows are judged alike, an empty table gives no rows.
+    """
     at, sent = documents.columns.index("text"), documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

@@ -503,6 +503,32 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-
 <aside><p>Related stories that you would want to read as well.</p></aside><!-- <p>hidden</p> --><footer>&copy; me</footer>"""
 
 
+def test_ftrl_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    bits, alpha, beta, l1, l2 = 6, 0.5, 1.0, 0.4, 0.02
+    model = toxicity.Ftrl(bits, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n, bias = {}, {}, 1 << bits
+
+    def weight(i):
+        if i != bias and abs(z.get(i, 0.0)) <= l1 or z.get(i, 0.0) == 0:
+            return 0.0
+        own = 0.0 if i == bias else l1
+        return ((own if z[i] > 0 else -own) - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(300):
+        at, label = np.unique(rng.integers(0, bias, 8)).astype(np.int32), int(rng.integers(0, 2))
+        model.learn(at, label)
+        features = [*at.tolist(), bias]
+        w = {i: weight(i) for i in features}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in features:
+            step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+            z[i], n[i] = z.get(i, 0.0) + g - step * w[i], n.get(i, 0.0) + g * g
+    at, w = model.sparse()
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in z if weight(i)}, rel=1e-5)
+    assert 1 < len(at) < bias
+
+
 def test_main_text():
     assert htmltext.main_text(PAGE) == "Headline First para of bold te&xt <b> with link. Short. One Two"
     plain = "<body><div class=menu><a>One</a> <a>Two</a></div><div><p>A page with div only, and a long first sentence that has words in it.<p>Another one, quite long too,\n\n so that it counts as content of the page.</div><div><a href=1>Terms</a> | <a href=2>Privacy</a></div>"

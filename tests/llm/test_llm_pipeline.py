@@ -60,3 +60,25 @@ def test_stages_equal_plain_versions(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
     cut = packing.cut([r.text.encode() for r in red], packing.tokens.default_path(), 4096)
     assert len({r.sequence_id for r in packed}) == plain_best_fit([p[3] for p in cut], 4096)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None, 3), (2, "", 0), (None, "mail bob@example.com now or never again", 39), (3, " \n", 2), (4, long, len(long)), (5, long, len(long)), (6, "one two three four five six seven", 33), (6, "one two three four five six seven", 33), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "7 as node", "8 as label", "'x' as Text", "9 as _gleanery_row")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "six seven"), (2, None), (None, "bob")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages, sf = dict(corpus_pipeline.STAGES), f"file://{tmp_path}"
+    columns = docs.columns
+    clean = stages["toxicity"](spark, docs, sf)
+    assert clean.columns == columns and clean.count() == 9
+    one = stages["ngram_jaccard"](spark, clean, sf)
+    assert one.columns == columns and sorted((r[0] or 0, (r[1] or "")[:3]) for r in one.collect()) == [(0, ""), (0, "mai"), (1, ""), (2, ""), (3, " \n"), (4, "w0 "), (6, "one")]
+    pure = stages["decontamination"](spark, one, sf)
+    assert pure.columns == columns and sorted(r[0] or 0 for r in pure.collect()) == [0, 0, 1, 2, 3, 4]
+    red = stages["pii"](spark, pure, sf)
+    assert red.columns == columns and {(r[1], r[2]) for r in red.collect() if r[0] is None} == {("mail [EMAIL] now or never again", 31), (None, None)}
+    assert {r.doc_id for r in stages["packing"](spark, red, sf).collect()} == {None, 1, 2, 3, 4}
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
