@@ -194,7 +194,7 @@ class Plainer(Transducer):
     """The pass over single characters: one for one, so that no place moves."""
 
     def __init__(self, text: str):
-        self.before, self.text = text, text.translate(_PLAIN)
+        self.before, self.text = text, _ODD.sub(lambda m: _PLAIN.get(m[0], m[0]), text)
 
     def touched(self, a: int, b: int) -> bool:
         return self.text[a:b] != self.before[a:b]
@@ -213,7 +213,7 @@ def _plain(c: str) -> str:
 
 
 # By rule: every character that _ODD knows and that reads as one ASCII character.
-_PLAIN = {k: x for lo, hi in _RANGES for k in range(lo, hi + 1) if chr(k) not in _INVISIBLE and (x := _plain(chr(k))) != chr(k)}
+_PLAIN = {c: x for lo, hi in _RANGES for c in map(chr, range(lo, hi + 1)) if c not in _INVISIBLE and (x := _plain(c)) != c}
 
 
 def _digits(said: str) -> str:
@@ -237,9 +237,10 @@ def _rewrites(pattern: re.Pattern, said, when=None):
     return edits
 
 
+_spoken = _rewrites(_SPOKEN_IP, _spoken_ip)
 PASSES = (
     _invisible,
-    _rewrites(_SPOKEN_IP, _spoken_ip),
+    lambda text: _spoken(text) if len(_SPOKEN_DOT.findall(text)) > 2 else (),
     _rewrites(_SPOKEN, lambda m: _digits(m[0])),
     _rewrites(_PLUS, "+"),
     _rewrites(_WORDY_AT, "@", addressed),
@@ -251,7 +252,7 @@ PASSES = (
 
 def deobfuscate(text: str) -> list[Transducer]:
     """The transducers in turn: characters, then spelled addresses and digits, plus, at, dot. Those that changed nothing are left out."""
-    out = [first] if (first := Plainer(text)).text != text else []
+    out = [first] if _ODD.search(text) and (first := Plainer(text)).text != text else []
     for edits in PASSES:
         if (t := Transducer(text := out[-1].text if out else text, edits(text))).in_start:
             out.append(t)
