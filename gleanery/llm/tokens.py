@@ -32,46 +32,81 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def distinct(joined: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """(the distinct parts, the place of each part among them). Hashes find equal parts; their bytes are then compared."""
-    _, at, back = np.unique(tk.hash_words(buf, starts, ends), return_index=True, return_inverse=True)
-    back = back.reshape(-1)
-    size, like = ends - starts, at[back]
-    same = bool((size == size[like]).all())
-    if same:
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        same = bool((buf[np.repeat(starts, size) + within] == buf[np.repeat(starts[like], size) + within]).all())
-    if same:
-        return [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], back
-    places: dict[bytes, int] = {}
-    back = np.array([places.setdefault(joined[a:b], len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-    return list(places), back
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the 8 bytes from there on, as one number; past the end they are zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all words of these sizes are the same bytes in two tables of eights()."""
+    k = 0
+    while len(size):
+        left = np.minimum(size - k, 8).astype(np.uint64)
+        mask = np.uint64((1 << 64) - 1) >> (np.uint64(64) - left * np.uint64(8))
+        if ((a[a_at + k] ^ b[b_at + k]) & mask).any():
+            return False
+        k += 8
+        more = np.flatnonzero(size > k)
+        a_at, b_at, size = a_at[more], b_at[more], size[more]
+    return True
 
 
 class Encoder:
     """Encodes blocks of texts; keeps the ids of up to `keep` parts between blocks."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.slot: dict[bytes, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}  # of a word's hash; its bytes are compared as well
         self.first, self.count, self.ids, self.used, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        self.at, self.size, self.text, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint8), 0
 
-    def _learn(self, parts: list[bytes]) -> None:
+    def _ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each part's ids begin, how many it has, all ids)."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))
-        for name, need in (("first", self.known + len(got)), ("count", self.known + len(got)), ("ids", self.used + len(flat))):
+        return np.cumsum(count) - count, count, np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))
+
+    def _learn(self, parts: list[bytes]) -> None:
+        first, count, flat = self._ids(parts)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        known, used, filled = self.known + len(parts), self.used + len(flat), self.filled + int(size.sum())
+        for name, need in (("first", known), ("count", known), ("at", known), ("size", known), ("ids", used), ("text", filled)):
             if need > len(old := getattr(self, name)):
                 setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.count[self.known : self.known + len(got)] = count
-        self.first[self.known : self.known + len(got)] = self.used + np.cumsum(count) - count
-        self.used += len(flat)
-        self.known += len(got)
+        self.ids[self.used : used] = flat
+        self.text[self.filled : filled] = np.frombuffer(b"".join(parts), np.uint8)
+        self.first[self.known : known], self.count[self.known : known] = self.used + first, count
+        self.at[self.known : known], self.size[self.known : known] = self.filled + np.cumsum(size) - size, size
+        self.known, self.used, self.filled = known, used, filled
+
+    def _slots(self, joined: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """The slot of each part; None if two parts share a hash, whose bytes are then looked at one by one."""
+        hashes, at, back = np.unique(tk.hash_words(buf, starts, ends), return_index=True, return_inverse=True)
+        back, size, here = back.reshape(-1), ends - starts, eights(buf)
+        if (size != size[at[back]]).any() or not same_bytes(here, starts, here, starts[at[back]], size):
+            return None
+        if self.known > 2 * self.keep:
+            self.clear()
+        keys = hashes.tolist()
+        slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
+        old = np.flatnonzero(slots >= 0)
+        own = slots[old]
+        if (size[at[old]] != self.size[own]).any() or not same_bytes(here, starts[at[old]], eights(self.text[: self.filled]), self.at[own], self.size[own]):
+            return None
+        if len(new := np.flatnonzero(slots < 0)):
+            slots[new] = self.known + np.arange(len(new))
+            self._learn([joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            if len(self.slot) < self.keep:
+                self.slot.update((keys[i], int(slots[i])) for i in new.tolist() if size[at[i]] <= LONGEST_KEPT)
+        return slots[back]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds): text i has ids[bounds[i] : bounds[i + 1]]."""
@@ -89,23 +124,16 @@ class Encoder:
         bounds = np.searchsorted(starts, first)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        parts, back = distinct(joined, buf, starts, ends)
-        if self.known > 2 * self.keep:
-            self.slot.clear()
-            self.known = self.used = 0
-        slots = [self.slot.get(p, -1) for p in parts]
-        if new := [i for i, s in enumerate(slots) if s < 0]:
-            base = self.known
-            self._learn([parts[i] for i in new])
-            for j, i in enumerate(new):
-                slots[i] = base + j
-            if len(self.slot) < self.keep:
-                self.slot.update((parts[i], slots[i]) for i in new if len(parts[i]) <= LONGEST_KEPT)
-        slots = np.array(slots, np.int64)[back]
-        count = self.count[slots]
+        slots = self._slots(joined, buf, starts, ends)
+        where, many, known = self.first, self.count, self.ids
+        if slots is None:
+            places: dict[bytes, int] = {}
+            slots = np.array([places.setdefault(joined[a:b], len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+            where, many, known = self._ids(list(places))
+        count = many[slots]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        ids = self.ids[np.repeat(self.first[slots] - total[:-1], count) + np.arange(total[-1])]
+        ids = known[np.repeat(where[slots] - total[:-1], count) + np.arange(total[-1])]
         return ids, total[bounds]
 
 

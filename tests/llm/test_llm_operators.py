@@ -335,6 +335,18 @@ def test_encoder_equals_the_tokenizer():
     assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(odd))] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_encoder_tells_equal_hashes_apart(monkeypatch):
+    texts = [(x or "").encode() for x in make_texts(11)]
+    want = tokens.Encoder(tokens.default_path()).encode(texts)
+    real = tk.hash_words
+    monkeypatch.setattr(tk, "hash_words", lambda *a, **k: real(*a, **k) % np.uint64(5))
+    encoder = tokens.Encoder(tokens.default_path())
+    got = [encoder.encode(texts[i : i + 3]) for i in range(0, len(texts), 3)]
+    assert np.concatenate([ids for ids, _ in got]).tolist() == want[0].tolist()
+    table, one, two = tokens.eights(np.frombuffer(b"abcdefghij-abcdefghik", np.uint8)), np.array([0]), np.array([11])
+    assert tokens.same_bytes(table, one, table, two, np.array([9])) and not tokens.same_bytes(table, one, table, two, np.array([10]))
+
+
 def test_histogram_and_sums(docs, none, encoded):
     lengths = [len(x) for x in encoded]
     h = tokens.length_histogram(clash(docs))
