@@ -92,7 +92,8 @@ def shared_segments(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """The anchor rows whose anchor occurs in documents of different id, written to the shared folder. All are written first: they are read twice, and texts shall be hashed once."""
     found = tk.written(anchor_rows(rows, window, gram))
     many = in_several(found)
-    shared = tk.written(found.join(many.hint("merge"), "anchor"))
+    # dealt out by document again, so that rows of a hot anchor come from many tasks and later joins can split them
+    shared = tk.written(found.join(many.hint("merge"), "anchor").repartition("id", "first"))
     tk.discard(found, many)
     return shared
 
