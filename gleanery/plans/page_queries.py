@@ -153,7 +153,9 @@ _CARDS = "concat('<main><ul class=grid>', array_join(collect_list(concat('<li cl
 
 
 def _card_pages(orders):
-    ordered = orders.repartition("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey")
+    # a stated number of partitions is not coalesced: pages are small, but each takes a Python task a while
+    parts = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = orders.repartition(parts, "o_custkey").sortWithinPartitions("o_custkey", "o_orderkey")
     return ordered.groupBy(F.col("o_custkey").alias("page_id")).agg(F.expr(_CARDS).alias("html")).withColumn("url", F.lit("https://shop.example/list"))
 
 
