@@ -27,8 +27,8 @@ def translate(messages: DataFrame, texts: DataFrame) -> DataFrame:
     With a count the plural form is used if either language has it. {name} is replaced by
     the parameter of that name, and stays if there is none.
     """
-    own = F.broadcast(texts.select(F.col("lang").alias("_l"), F.col("key").alias("_k"), F.col("text").alias("_own")))
-    base = F.broadcast(texts.filter(F.col("lang") == FALLBACK).select(F.col("key").alias("_bk"), F.col("text").alias("_base")))
+    own = texts.select(F.col("lang").alias("_l"), F.col("key").alias("_k"), F.col("text").alias("_own"))  # broadcast only if its size allows
+    base = texts.filter(F.col("lang") == FALLBACK).select(F.col("key").alias("_bk"), F.col("text").alias("_base"))
     forms = messages.withColumn("_plural", F.when(F.col("count").isNotNull(), plural_key(F.col("key"), F.col("count"))))
 
     def looked_up(df: DataFrame, key: str, name: str) -> DataFrame:
