@@ -227,6 +227,7 @@ def list_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
             left, right = np.concatenate(left), np.concatenate(right)
             pair = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+        tk.give_back()
 
     return lists.mapInArrow(run, "a long, b long").distinct()
 
@@ -251,6 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                     common = len(np.intersect1d(a.tokens[a.bounds[i] : a.bounds[i + 1]], b.tokens[b.bounds[i] : b.bounds[i + 1]], assume_unique=True))
                     keep.append(100 * common >= percent * (int(a.sizes[i]) + int(b.sizes[i]) - common))
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+        tk.give_back()
 
     return tk.small_batches(both).mapInArrow(run, "a long, b long")
 
@@ -306,6 +308,7 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             heavy = pa.ListArray.from_arrays(ends[0], pa.array(sets.tokens[at].view(np.int64)))
             small = pa.ListArray.from_arrays(ends[1], pa.StructArray.from_arrays([pa.array(tk.mix64(token).view(np.int64)), pa.array([s for x in light for _, s in x], pa.int16())], ["token", "size"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.nodes()), pa.array(sets.bitmaps()), heavy, small], ["id", "version", "n", "node", "bitmap", "heavy", "light"])
+        tk.give_back()  # workers live on through later stages
 
     # each text is hashed once; its names and entries are written, as they are read several times
     schema = "id long, version long, n long, node long, bitmap binary, heavy array<long>, light array<struct<token:long,size:smallint>>"

@@ -119,6 +119,7 @@ def pieces(documents: DataFrame, capacity: int, path: str) -> DataFrame:
             ids, texts = tk.fields(batch, "doc_id", "text")
             at, *rest = np.array(cut(tk.as_bytes(texts), path, capacity), np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(at)), pa.array(rest[0].astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in rest[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tk.give_back()
 
     return tk.small_batches(tk.exact(documents, "doc_id", "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

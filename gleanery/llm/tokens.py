@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
 
+MOST_BYTES = 32 << 20  # of words that are held for comparison
 LONGEST_KEPT = 256  # bytes of a part whose ids are kept between blocks
 _LABEL = np.full(256, 3, np.int8)  # apostrophe and all beyond ASCII: never a cut
 _LABEL[:128] = 2
@@ -55,7 +56,7 @@ def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray,
 class Encoder:
     """Encodes blocks of texts; keeps the ids of up to `keep` parts between blocks."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,8 +66,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}  # of a word's hash; its bytes are compared as well
-        self.first, self.count, self.ids, self.used, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
-        self.at, self.size, self.text, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint8), 0
+        self.first, self.count, self.ids, self.used, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0, 0
+        self.at, self.size, self.text, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint8), 0
 
     def _ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(where each part's ids begin, how many it has, all ids)."""
@@ -93,7 +94,7 @@ class Encoder:
         back, size, here = back.reshape(-1), ends - starts, eights(buf)
         if (size != size[at[back]]).any() or not same_bytes(here, starts, here, starts[at[back]], size):
             return None
-        if self.known > 2 * self.keep:
+        if self.known > 2 * self.keep or self.filled > MOST_BYTES:
             self.clear()
         keys = hashes.tolist()
         slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
