@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.operators.pipeline import POS, with_pos
 from gleanery.operators.relational import keep_newest
 
 KEEP_SNAPSHOTS, KEEP_HISTORY = 10, 50
@@ -73,10 +74,19 @@ def status(last_status: Column, new: Column, removed: Column, changed: Column) -
     return F.when(last_status.isNull(), "never").when(last_status == "error", "error").when(F.coalesce(new, F.lit(0)) + F.coalesce(removed, F.lit(0)) + F.coalesce(changed, F.lit(0)) > 0, "changed").otherwise("success")
 
 
+def urgency() -> Column:
+    return F.create_map(*(F.lit(v) for pair in PRIORITY.items() for v in pair))[F.col("status")]
+
+
 def ranked(cards: DataFrame) -> DataFrame:
     """Monitors by urgency, then the last run first."""
-    table = F.create_map(*(F.lit(v) for pair in PRIORITY.items() for v in pair))
-    return cards.orderBy(table[F.col("status")], F.desc_nulls_last("last_run_at"))
+    return cards.orderBy(urgency(), F.desc_nulls_last("last_run_at"))
+
+
+def placed(cards: DataFrame, key: str) -> DataFrame:
+    """Adds the 1-based `place` of each monitor in the order of ranked(), however many there are; `key` names a monitor and settles ties."""
+    order = {"_urgency": urgency(), "_never": F.col("last_run_at").isNull(), "_newest": F.coalesce(-F.col("last_run_at"), F.lit(0))}
+    return with_pos(cards.withColumns(order), [*order, key]).withColumn("place", F.col(POS) + 1).drop(POS, *order)
 
 
 def filter_cards(cards: DataFrame, which: str) -> DataFrame:

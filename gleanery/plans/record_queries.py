@@ -190,8 +190,7 @@ def monitor_cards(spark, sf_dir):
     """Monitors with errors or changes, most urgent first."""
     cards = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("last_run_at")).withColumn("status", F.element_at(F.array(*(F.lit(s) for s in ("error", "changed", "success", "never"))), (F.col("user_id") % 4 + 1).cast("int")))
     kept = snapshots.filter_cards(cards, "changed").unionByName(snapshots.filter_cards(cards, "errors"))
-    placed = spark.createDataFrame(snapshots.ranked(kept).limit(10_000).toPandas().reset_index(names="place"))  # a list for a screen
-    return placed.select("user_id", "status", (F.col("place") + 1).alias("place"))
+    return snapshots.placed(kept, "user_id").select("user_id", "status", "place")
 
 
 # --- changes

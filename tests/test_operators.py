@@ -188,6 +188,18 @@ def test_snapshots(spark, tmp_path):
     assert [r.last_run_at for r in snapshots.ranked(cards).collect()] == [1, 9, 5, 3] and snapshots.summary(cards).first().asDict() == {"active": 3, "success": 0, "changed": 2, "errors": 1}
 
 
+def test_every_monitor_has_its_place(spark, tmp_path):
+    from gleanery.plans import registry
+
+    some = spark.createDataFrame([(4, "never", None), (2, "changed", 9), (3, "changed", 9), (1, "error", 1), (5, "changed", 12), (6, "never", None)], "id long, status string, last_run_at long")
+    assert [r.id for r in snapshots.placed(some, "id").orderBy("place").collect()] == [1, 5, 2, 3, 4, 6]
+    spark.range(24_000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 24_000).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["monitor_cards"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 12_001)) and [r.status for r in got] == ["error"] * 6000 + ["changed"] * 6000
+    runs = [r.user_id * pow(7, -1, 24_000) % 24_000 for r in got]
+    assert runs[:6000] == sorted(runs[:6000], reverse=True) and runs[6000:] == sorted(runs[6000:], reverse=True)
+
+
 def test_sinks(spark, tmp_path):
     df = frame(spark, [("=SUM(A1)", "-5"), ('a,"b"', None)], ["x", "y"]).drop(POS).coalesce(1)
     assert [r[0] for r in df.select(lines.csv_line(["x", "y"])).collect()] == ["'=SUM(A1),'-5", '"a,""b""",']
