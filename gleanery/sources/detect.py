@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import statistics
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import chain, islice
 from operator import add
 
@@ -78,6 +78,7 @@ def digit_share(s: str) -> float:
     return sum(x.isdigit() for x in s) / len(s)
 
 
+@lru_cache(maxsize=65536)
 def dynamic_class(c: str) -> bool:
     """Whether a class looks made by a tool: prefixes, hashes, many digits, no vowel."""
     if len(c) < LEAST_CLASS or any(p.match(c) for p in MADE_CLASS):
@@ -143,9 +144,13 @@ def score() -> Column:
 # --- selectors
 
 
+@lru_cache(maxsize=65536)
+def escaped(c: str) -> str:
+    return re.sub(r"([^\w-])", r"\\\1", c)
+
+
 def segment(n: dom.Node) -> str:
-    named = "".join("." + re.sub(r"([^\w-])", r"\\\1", c) for c in stable_classes(n))
-    return n.tag + named
+    return n.tag + "".join("." + escaped(c) for c in stable_classes(n))
 
 
 def positioned(n: dom.Node) -> str:
@@ -171,7 +176,7 @@ def relative_selector(scope: dom.Node, n: dom.Node) -> str:
 def container_selector(group: list[dom.Node], root: dom.Node) -> str:
     """A selector that finds exactly the group, or '' if none does."""
     common = [c for c in stable_classes(group[0]) if all(c in n.classes() for n in group)]
-    s = group[0].tag + "".join("." + re.sub(r"([^\w-])", r"\\\1", c) for c in common)
+    s = group[0].tag + "".join("." + escaped(c) for c in common)
     at = group[0].parent
     for _ in range(8):
         if len(dom.select(root, s)) == len(group):
@@ -239,7 +244,7 @@ def fields(group: list[dom.Node], budget: Budget = ALL) -> list[tuple[str, str,
             wanted.append((n, "src"))
         elif n.tag == "a" and "href" in n.attrs and not any(a == "href" for _, a in wanted):
             wanted.append((n, "href"))
-        if n.tag not in ("script", "style") and n.clean_text() and not any(k.clean_text() for k in kids) and not any(x is not n and x.clean_text() == n.clean_text() for x, a in wanted if a == "text" and x in list(n.ancestors())):
+        if n.tag not in ("script", "style") and (t := n.clean_text()) and not any(k.clean_text() for k in kids) and not any(x is not n and x.order < n.order <= x.last and x.clean_text() == t for x, a in wanted if a == "text"):
             wanted.append((n, "text"))
     out, used, seen, texts = [], set(), set(), 0
     for n, attribute in wanted:
@@ -282,6 +287,12 @@ def page_candidates(html: str, budget: Budget = ALL) -> list[tuple]:
     return out
 
 
+def batch_candidates(pages: list[str | None], budget: Budget = ALL) -> list[list[tuple]]:
+    """page_candidates() of each page of a batch; pages alike to the last character are walked once."""
+    found: dict[str, list[tuple]] = {}
+    return [found[h] if (h := html or "") in found else found.setdefault(h, page_candidates(h, budget)) for html in pages]
+
+
 def candidates(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
     """One row for each repeating group with its signals and score."""
     names = ["page_id", "candidate", "label", "selector", "lineage", *(s.split()[0] for s in SIGNALS.split(", ")), "fields"]
@@ -289,7 +300,7 @@ def candidates(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(p, *c) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in page_candidates(h or "", budget)]
+            rows = [(p, *c) for p, found in zip(batch.column(0).to_pylist(), batch_candidates(batch.column(1).to_pylist(), budget), strict=True) for c in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     found = pages.select("page_id", "html").mapInArrow(run, f"page_id long, candidate int, label string, selector string, lineage array<long>, {SIGNALS}, fields array<string>")

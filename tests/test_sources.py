@@ -83,3 +83,27 @@ def test_structures_of_all_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     got = [r.page_id for r in registry.QUERIES["detect_structures"](spark, str(tmp_path)).collect()]
     assert set(got) == {1, 1990, 5000} and got.count(1) == got.count(1990) == got.count(5000)
+
+
+def _plan_of_customers(spark, folder, name):
+    from gleanery.plans import registry
+
+    spark.range(18).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    found = registry.QUERIES[name](spark, str(folder))
+    return found, found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_customers_are_dealt_out_and_equal_pages_walked_once(spark, tmp_path, monkeypatch):
+    found, plan = _plan_of_customers(spark, tmp_path, "detect_cards")
+    assert "RepartitionByExpression [c_custkey" in plan
+    assert sorted((r.page_id, r.item_count) for r in found.collect()) == [(k, 4 + k % 9) for k in range(18)]
+    walked, real = [], detect.page_candidates
+    monkeypatch.setattr(detect, "page_candidates", lambda h, b: walked.append(h) or real(h, b))
+    got = detect.batch_candidates([CARDS, None, CARDS, "", CARDS + "<p>"])
+    assert walked == [CARDS, "", CARDS + "<p>"] and got[0] == got[2] == real(CARDS) and got[1] == got[3] == []
+
+
+def test_walk_is_page_order():
+    root = dom.parse("<p>a<ul><li>1<li><b>2<i>3</b></i><li>4</ul></div><td>x<td>y<p><svg/><span>z")
+    below = lambda n: [x for c in n.elements() for x in (c, *below(c))]
+    assert all(list(n.walk()) == below(n) for n in (root, *root.walk())) and len(below(root)) == 12
