@@ -110,7 +110,7 @@ def detect_viable(spark, sf_dir):
 @query("detect_report", "SELECT c_custkey AS page_id, unnest(['li.card', 'a']) AS tag, unnest(['kept', 'score below 20']) AS fate FROM customer")
 def detect_report(spark, sf_dir):
     """Every candidate with its fate."""
-    found = detect.report(_pages(spark, sf_dir, "customer", "c_custkey", _GRID))
+    found = detect.report(_grids(spark, sf_dir))
     return found.select("page_id", F.regexp_extract("selector", r"[^ ]+$", 0).alias("tag"), "fate")
 
 

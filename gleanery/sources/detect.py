@@ -307,29 +307,35 @@ def candidates(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
     return found.withColumn("score", score())
 
 
-def structures(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
-    """The best structures of each page: page_id, rank, label, item_count, selector, score, confidence, fields.
+def _judged(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
+    """page_id, `all` its candidates, best first, and `kept` those that no better one stands for.
 
     A candidate goes if a better one is the same element, or above or below it with nearly
-    as many items; the judgement stays inside the page's own few candidates.
+    as many items; the judgement stays inside the page's own few candidates, and each page
+    is walked once.
     """
-    listed = candidates(pages, budget).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "candidate", "label", "selector", "lineage", "item_count", "score", "fields"))).alias("all"))
+    rest = ["item_count", "score", "fields", *(s.split()[0] for s in SIGNALS.split(", ")[1:])]
+    listed = candidates(pages, budget).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "candidate", "label", "selector", "lineage", *rest))).alias("all"))
     related = lambda a, b: F.array_contains(a["lineage"], F.get(b["lineage"], F.lit(0))) | F.array_contains(b["lineage"], F.get(a["lineage"], F.lit(0)))
     same = lambda a, b: F.get(a["lineage"], F.lit(0)) == F.get(b["lineage"], F.lit(0))
     close = lambda a, b: same(a, b) | (related(a, b) & (F.abs(a["item_count"] - b["item_count"]) <= 2))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
-    top = listed.select("page_id", F.posexplode(kept if budget.structures is None else F.slice(kept, 1, budget.structures)).alias("rank", "s"))
+    return listed.withColumn("kept", kept if budget.structures is None else F.slice(kept, 1, budget.structures))
+
+
+def structures(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
+    """The best structures of each page: page_id, rank, label, item_count, selector, score, confidence, fields."""
+    top = _judged(pages, budget).select("page_id", F.posexplode("kept").alias("rank", "s"))
     confidence = F.when(F.col("s.score") >= 70, "High").when(F.col("s.score") >= 40, "Medium").otherwise("Low")
     return top.select("page_id", (F.col("rank") + 1).alias("rank"), "s.label", "s.item_count", "s.selector", "s.score", confidence.alias("confidence"), "s.fields")
 
 
 def report(pages: DataFrame, budget: Budget = ALL) -> DataFrame:
     """Every candidate with its signals, score and fate: kept, or why it was set aside."""
-    kept = structures(pages, budget).select("page_id", F.col("selector").alias("_s"), F.col("item_count").alias("_n"), "rank").dropDuplicates(["page_id", "_s", "_n"])
-    found = candidates(pages, budget)
-    met = found.join(kept, (kept["page_id"] == found["page_id"]) & (kept["_s"] == found["selector"]) & (kept["_n"] == found["item_count"]), "left").drop(kept["page_id"])
-    fate = F.when((F.col("score") < 20), "score below 20").when(F.col("rank").isNull(), "overlaps a better candidate").otherwise("kept")
-    return met.withColumn("fate", fate).drop("_s", "_n", "rank", "lineage")
+    met = _judged(pages, budget).select("page_id", "kept", F.explode("all").alias("s"))
+    stands = F.exists("kept", lambda k: (k["selector"] == F.col("s.selector")) & (k["item_count"] == F.col("s.item_count")))
+    fate = F.when(F.col("s.score") < 20, "score below 20").when(~stands, "overlaps a better candidate").otherwise("kept")
+    return met.select("page_id", "s.candidate", "s.label", "s.selector", *(f"s.{c.split()[0]}" for c in SIGNALS.split(", ")), "s.fields", "s.score", fate.alias("fate"))
 
 
 def viable(found: DataFrame) -> DataFrame:

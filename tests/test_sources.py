@@ -107,3 +107,9 @@ def test_walk_is_page_order():
     root = dom.parse("<p>a<ul><li>1<li><b>2<i>3</b></i><li>4</ul></div><td>x<td>y<p><svg/><span>z")
     below = lambda n: [x for c in n.elements() for x in (c, *below(c))]
     assert all(list(n.walk()) == below(n) for n in (root, *root.walk())) and len(below(root)) == 12
+
+
+def test_report_walks_each_page_once(spark, tmp_path):
+    found, plan = _plan_of_customers(spark, tmp_path, "detect_report")
+    assert plan.count("MapInArrow") == 1 and "RepartitionByExpression [c_custkey" in plan
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k, *t) for k in range(18) for t in (("li.card", "kept"), ("a", "score below 20")))
