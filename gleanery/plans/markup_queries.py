@@ -104,7 +104,7 @@ def detect_cards(spark, sf_dir):
 @query("detect_viable", "SELECT c_custkey AS page_id, 'li.card' AS selector FROM customer")
 def detect_viable(spark, sf_dir):
     """Of all structures, those worth offering: the product list, not the menu."""
-    return detect.viable(detect.structures(_pages(spark, sf_dir, "customer", "c_custkey", _GRID))).select("page_id", "selector")
+    return detect.viable(detect.structures(_grids(spark, sf_dir))).select("page_id", "selector")
 
 
 @query("detect_report", "SELECT c_custkey AS page_id, unnest(['li.card', 'a']) AS tag, unnest(['kept', 'score below 20']) AS fate FROM customer")

@@ -113,3 +113,8 @@ def test_report_walks_each_page_once(spark, tmp_path):
     found, plan = _plan_of_customers(spark, tmp_path, "detect_report")
     assert plan.count("MapInArrow") == 1 and "RepartitionByExpression [c_custkey" in plan
     assert sorted(tuple(r) for r in found.collect()) == sorted((k, *t) for k in range(18) for t in (("li.card", "kept"), ("a", "score below 20")))
+
+
+def test_viable_customers_are_dealt_out(spark, tmp_path):
+    found, plan = _plan_of_customers(spark, tmp_path, "detect_viable")
+    assert "RepartitionByExpression [c_custkey" in plan and sorted(tuple(r) for r in found.collect()) == [(k, "li.card") for k in range(18)]
