@@ -18,6 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,8 +319,8 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     entered = named.select(F.explode("heavy").alias("token"), "node", F.lit(0).cast("short").alias("size")).unionByName(named.select("node", F.inline("light")))
     shared = tk.written(entered.groupBy("token", "size").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("token", "size"))
-    entered = tk.written(entered.join(shared.hint("merge"), ["token", "size"]).distinct())
-    tk.discard(shared)
+    # on the executors' own disks, and made again from `shared` where one is lost: no file of the shared folder is opened while the largest join runs
+    entered = entered.join(shared.hint("merge"), ["token", "size"]).distinct().persist(StorageLevel.DISK_ONLY)
 
     light = entered.filter("size > 0").join(nodes.select("node", "n").hint("merge"), "node")
     least = tk.written(light.groupBy("token", "size").agg(F.min(F.struct("n", "node")).alias("_c")))
@@ -350,6 +351,8 @@ def grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     texts = rows.join(wanted.hint("shuffle_hash"), "id").select("node", "text").mapInArrow(confirm, "node long, text string").dropDuplicates(["node"])
     texts = tk.written(texts)
     first = tk.written(verified(tree, texts, shingle, percent).unionByName(light))
+    entered.unpersist()
+    tk.discard(shared)
     labels = tk.written(components(first).select("node", F.col("component").alias("label")))
     rest = list_pairs(lists(labels), percent, False).join(tree.hint("merge"), ["a", "b"], "left_anti")
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(rest, texts, shingle, percent))

@@ -458,6 +458,17 @@ def test_links_of_a_family_of_edits(spark):
     assert [got[i * 3].component_id for i in range(len(texts))] == [3 * r for r in brute_components(texts, 4, 85)[1]]
 
 
+def test_links_entries_stay_out_of_the_shared_folder(spark, docs, monkeypatch):
+    """The entries of all lists, the largest table, open no file there, and nothing stays on the executors' disks."""
+    columns, written = [], tk.written
+    monkeypatch.setattr(tk, "written", lambda df: columns.append(set(df.columns)) or written(df))
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = held()
+    jaccard_join.link(docs).collect()
+    assert columns and {"token", "size", "node"} not in columns
+    assert held() <= before
+
+
 def test_links_ids(spark, none):
     d = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (9, "A B  C\nd"), (None, "a b c d"), (None, None), (4, "other words"), (7, "")], "doc_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(d).filter("doc_id is not null").collect())
