@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
 
-MOST_BYTES = 32 << 20  # of words that are held for comparison
-LONGEST_KEPT = 256  # bytes of a part whose ids are kept between blocks
+MOST_BYTES = 16 << 20  # of words that are held for comparison
+LONGEST_KEPT = 256  # bytes of a part whose ids outlast the next forgetting
+STRING = 4096  # bytes of the strings in which unknown parts are given to the tokenizer
 _LABEL = np.full(256, 3, np.int8)  # apostrophe and all beyond ASCII: never a cut
 _LABEL[:128] = 2
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
@@ -33,10 +34,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def eights(data: np.ndarray) -> np.ndarray:
-    """At each place the 8 bytes from there on, as one number; past the end they are zero."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+def eights(data: np.ndarray, padded: bool = False) -> np.ndarray:
+    """At each place the 8 bytes from there on, as one number; past the end they are zero, unless the last 8 bytes are `padded` already."""
+    if not padded:
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
 def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> bool:
@@ -54,7 +56,7 @@ def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray,
 
 
 class Encoder:
-    """Encodes blocks of texts; keeps the ids of up to `keep` parts between blocks."""
+    """Encodes blocks of texts; keeps the ids of about `keep` parts between blocks, those that were met again before the rest."""
 
     def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,52 +64,134 @@ class Encoder:
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.folds, self.zero = self._folds(), self._zero()
         self.clear()
 
+    def _folds(self) -> bool:
+        """Whether the vocabulary reads A-Z as a-z, so that ASCII parts in either case are one."""
+        letters, normalizer = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", self.tokenizer.normalizer
+        special = all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
+        return normalizer is not None and special and all(normalizer.normalize_str(x) == normalizer.normalize_str(x.lower()) for x in (*letters, letters))
+
+    def _zero(self) -> int:
+        """The id of "0" if that digit parts its neighbours as white space does, or -1."""
+        odd = ["a", "'", "'s", "\u00e9", "!", "\u0301", "ab", "\u3000", "\u0338", "...", "A"]
+        *own, zero, whole = [e.ids for e in self.tokenizer.encode_batch_fast([*odd, "0", "0".join(odd)], add_special_tokens=False)]
+        return zero[0] if len(zero) == 1 and whole == [i for x in own for i in [*zero, *x]][1:] else -1
+
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}  # of a word's hash; its bytes are compared as well
-        self.first, self.count, self.ids, self.used, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0, 0
-        self.at, self.size, self.text, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint8), 0
-
-    def _ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(where each part's ids begin, how many it has, all ids)."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        return np.cumsum(count) - count, count, np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))
-
-    def _learn(self, parts: list[bytes]) -> None:
-        first, count, flat = self._ids(parts)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        known, used, filled = self.known + len(parts), self.used + len(flat), self.filled + int(size.sum())
-        for name, need in (("first", known), ("count", known), ("at", known), ("size", known), ("ids", used), ("text", filled)):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
-        self.ids[self.used : used] = flat
-        self.text[self.filled : filled] = np.frombuffer(b"".join(parts), np.uint8)
-        self.first[self.known : known], self.count[self.known : known] = self.used + first, count
-        self.at[self.known : known], self.size[self.known : known] = self.filled + np.cumsum(size) - size, size
-        self.known, self.used, self.filled = known, used, filled
-
-    def _slots(self, joined: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
-        """The slot of each part; None if two parts share a hash, whose bytes are then looked at one by one."""
-        hashes, at, back = np.unique(tk.hash_words(buf, starts, ends), return_index=True, return_inverse=True)
-        back, size, here = back.reshape(-1), ends - starts, eights(buf)
-        if (size != size[at[back]]).any() or not same_bytes(here, starts, here, starts[at[back]], size):
+        self.known, self.hash, self.met = 0, np.zeros(1024, np.uint64), np.zeros(1024, bool)
+        self.at, self.text = np.zeros(1024, np.int64), np.zeros(8192, np.uint8)  # part i is text[at[i] : at[i + 1]]
+        self.first, self.ids = np.zeros(1024, np.int64), np.zeros(4096, np.uint32)  # and has ids[first[i] : first[i + 1]]
+        self.table = np.full(4096, -1, np.int32)  # parts at the first free place from their hash on
+
+    def _room(self, name: str, need: int) -> None:
+        if need > len(old := getattr(self, name)):
+            setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old) + len(old) // 2) - len(old), old.dtype)]))
+
+    def _whole(self, strings: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in strings], add_special_tokens=False)]
+
+    def _parted(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """_ids() of parts without the digit 0, many in a string with that digit between them; None if the zeros don't come out even."""
+        end, joined, between = np.cumsum(size + 1), np.full(len(text) + len(size), 0x30, np.uint8), np.zeros(len(text) + len(size), bool)
+        between[end - 1] = True
+        joined[~between] = text
+        last = np.flatnonzero(np.diff(end // STRING, append=-1))
+        data, stops = joined.tobytes(), end[last].tolist()
+        got = self._whole([data[a : b - 1] for a, b in zip([0, *stops], stops, strict=False)])
+        flat = np.concatenate([np.array([*x, self.zero], np.uint32) for x in got])
+        zeros = np.flatnonzero(flat == self.zero)
+        if len(zeros) != len(size):
             return None
-        if self.known > 2 * self.keep or self.filled > MOST_BYTES:
-            self.clear()
-        keys = hashes.tolist()
-        slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
-        old = np.flatnonzero(slots >= 0)
+        return np.diff(zeros, prepend=-1) - 1, flat[flat != self.zero]
+
+    def _ids(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each part has, all ids) of parts whose bytes follow one another; none is empty."""
+        at, count, found = np.cumsum(size) - size, np.zeros(len(size), np.int64), []
+        single = np.logical_or.reduceat(text == 0x30, at) if self.zero >= 0 else np.ones(len(size), bool)
+        if len(some := np.flatnonzero(~single)):
+            if (got := self._parted(text[np.repeat(~single, size)], size[some])) is None:
+                single[:] = True
+            else:
+                count[some] = got[0]
+                found.append(got[1])
+        if len(some := np.flatnonzero(single)):
+            data = text.tobytes()
+            got = self._whole([data[a : a + n] for a, n in zip(at[some].tolist(), size[some].tolist(), strict=True)])
+            count[some] = np.fromiter(map(len, got), np.int64, len(got))
+            found.append(np.fromiter((i for x in got for i in x), np.uint32, int(count[some].sum())))
+        if len(found) == 1:
+            return count, found[0]
+        flat, alone = np.zeros(int(count.sum()), np.uint32), np.repeat(single, count)
+        flat[~alone], flat[alone] = found[0], found[1]
+        return count, flat
+
+    def _add(self, hashes: np.ndarray, text: np.ndarray, size: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Parts with hashes of their own that the table doesn't have."""
+        lo, hi = self.known, self.known + len(hashes)
+        used, filled = int(self.first[lo]), int(self.at[lo])
+        for name, need in (("hash", hi), ("met", hi), ("at", hi + 1), ("first", hi + 1), ("ids", used + len(ids)), ("text", filled + len(text) + 8)):
+            self._room(name, need)
+        self.hash[lo:hi], self.met[lo:hi], self.ids[used : used + len(ids)], self.text[filled : filled + len(text)] = hashes, False, ids, text
+        self.at[lo + 1 : hi + 1], self.first[lo + 1 : hi + 1], self.known = filled + np.cumsum(size), used + np.cumsum(count), hi
+        if 2 * hi > len(self.table):
+            self.table = np.full(1 << (2 * hi).bit_length(), -1, np.int32)
+            lo = 0
+        mask, parts = len(self.table) - 1, np.arange(lo, hi, dtype=np.int32)
+        place = (self.hash[lo:hi] & np.uint64(mask)).astype(np.int64)
+        while len(parts):
+            free = self.table[place] < 0
+            self.table[place[free]] = parts[free]
+            out = np.flatnonzero(self.table[place] != parts)
+            parts, place = parts[out], (place[out] + 1) & mask
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The part with each hash, or -1."""
+        mask = len(self.table) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        out = self.table[place]
+        left = np.flatnonzero((out >= 0) & (self.hash[out] != hashes))
+        while len(left):
+            place[left] = (place[left] + 1) & mask
+            out[left] = now = self.table[place[left]]
+            left = left[(now >= 0) & (self.hash[now] != hashes[left])]
+        return out
+
+    def _forget(self) -> None:
+        """Only parts that were met again since the last time stay, those kept longest first, in half of the room."""
+        size, count = np.diff(self.at[: self.known + 1]), np.diff(self.first[: self.known + 1])
+        stay = np.flatnonzero(self.met[: self.known] & (size <= LONGEST_KEPT))[: self.keep // 2]
+        stay = stay[np.cumsum(size[stay]) <= MOST_BYTES // 2]
+        stays = np.zeros(self.known, bool)
+        stays[stay] = True
+        text, ids = self.text[: self.at[self.known]][np.repeat(stays, size)], self.ids[: self.first[self.known]][np.repeat(stays, count)]
+        kept = self.hash[stay], text, size[stay], count[stay], ids
+        self.clear()
+        self._add(*kept)
+
+    def _slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """Which known part each is; None if two parts share a hash, whose bytes are then looked at one by one."""
+        if self.known > self.keep or self.at[self.known] > MOST_BYTES:
+            self._forget()
+        hashes, here = tk.hash_words(buf, starts, ends), eights(buf)
+        slots = self._find(hashes).astype(np.int64)
+        size = ends - starts
+        old, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
         own = slots[old]
-        if (size[at[old]] != self.size[own]).any() or not same_bytes(here, starts[at[old]], eights(self.text[: self.filled]), self.at[own], self.size[own]):
+        if (size[old] != self.at[own + 1] - self.at[own]).any() or not same_bytes(here, starts[old], eights(self.text, True), self.at[own], size[old]):
             return None
-        if len(new := np.flatnonzero(slots < 0)):
-            slots[new] = self.known + np.arange(len(new))
-            self._learn([joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            if len(self.slot) < self.keep:
-                self.slot.update((keys[i], int(slots[i])) for i in new.tolist() if size[at[i]] <= LONGEST_KEPT)
-        return slots[back]
+        self.met[own] = True
+        if len(new):
+            fresh, at, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at, back = new[at], back.reshape(-1)
+            if (size[new] != size[at[back]]).any() or not same_bytes(here, starts[new], here, starts[at[back]], size[new]):
+                return None
+            slots[new] = self.known + back
+            data = buf.tobytes()
+            text = np.frombuffer(b"".join([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]), np.uint8)
+            self._add(fresh, text, size[at], *self._ids(text, size[at]))
+        return slots
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds): text i has ids[bounds[i] : bounds[i + 1]]."""
@@ -125,16 +209,24 @@ class Encoder:
         bounds = np.searchsorted(starts, first)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        slots = self._slots(joined, buf, starts, ends)
-        where, many, known = self.first, self.count, self.ids
+        if self.folds:
+            capital = (buf >= 0x41) & (buf <= 0x5A)
+            ascii_ = np.maximum.reduceat(buf, starts) < 0x80  # between parts there is white space alone
+            capital[starts[0] :] &= np.repeat(ascii_, np.diff(starts, append=len(buf)))
+            buf = buf | (capital.view(np.uint8) << 5)
+        slots = self._slots(buf, starts, ends)
         if slots is None:
             places: dict[bytes, int] = {}
             slots = np.array([places.setdefault(joined[a:b], len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-            where, many, known = self._ids(list(places))
-        count = many[slots]
+            many, known = self._ids(np.frombuffer(b"".join(places), np.uint8), np.fromiter(map(len, places), np.int64, len(places)))
+            where = np.cumsum(many) - many
+            where, count = where[slots], many[slots]
+        else:
+            where, known = self.first[slots], self.ids
+            count = self.first[slots + 1] - where
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        ids = known[np.repeat(where[slots] - total[:-1], count) + np.arange(total[-1])]
+        ids = known[np.repeat(where - total[:-1], count) + np.arange(total[-1])]
         return ids, total[bounds]
 
 

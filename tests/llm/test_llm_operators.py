@@ -347,6 +347,30 @@ def test_encoder_tells_equal_hashes_apart(monkeypatch):
     assert tokens.same_bytes(table, one, table, two, np.array([9])) and not tokens.same_bytes(table, one, table, two, np.array([10]))
 
 
+def test_encoder_asks_the_tokenizer_seldom():
+    encoder, given = tokens.Encoder(tokens.default_path(), keep=400), []
+
+    class Spy:
+        def encode_batch_fast(self, strings, **k):
+            given.extend(strings)
+            return real.encode_batch_fast(strings, **k)
+
+    real, encoder.tokenizer = encoder.tokenizer, Spy()
+    word = "".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + "\u00e9q!" * (i % 3 == 0) + "x " for i in range(676)).split()
+    often = [*word[:150], "a0b", "00", "K\u0331"]
+    for k in range(20):  # of what is new, nothing comes twice
+        text = " ".join([*often, *(w.capitalize() + chr(97 + k) for w in word[150:250])])
+        ids, _ = encoder.encode([text.encode()])
+        assert ids.tolist() == real.encode(text, add_special_tokens=False).ids
+    assert len(given) < 100  # of 20 * 253 parts
+    assert sum(x.split("0").count(word[1]) for x in given) == 1
+    assert encoder.known <= 400 + 253
+    before = len(given)
+    ids, _ = encoder.encode([" ".join(often).upper().encode()])
+    assert ids.tolist() == real.encode(" ".join(often).upper(), add_special_tokens=False).ids
+    assert word[1].upper() not in "0".join(given[before:]).split("0")
+
+
 def test_histogram_and_sums(docs, none, encoded):
     lengths = [len(x) for x in encoded]
     h = tokens.length_histogram(clash(docs))
