@@ -204,6 +204,7 @@ class Encoder:
         edge = np.flatnonzero(cut)
         starts = edge[now[edge] != 0]
         ends = edge[np.searchsorted(edge, starts, "right")] if len(starts) else starts
+        del label, now, before, cut, edge  # of one giant text they are large
         first = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in texts], out=first[1:])
         bounds = np.searchsorted(starts, first)
